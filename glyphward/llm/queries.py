@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sentencepiece_codec, source_mix, token_store
+from . import lm_score, sentencepiece_codec, source_mix, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.build(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.intervals(_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no")
 
@@ -25,9 +29,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_events", *[F.round(c, 6).alias(c) for c in ("ce_target", "ce_background", "ce_diff")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op5_source_mix, op8_sentencepiece)}
+    return {f.__name__: f for f in (op2_token_store, op3_substring_dedup, op5_source_mix, op8_sentencepiece, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": source_mix.oracle()}
+    return {
+        "op3_substring_dedup": substring_dedup.oracle(),
+        "op5_source_mix": source_mix.oracle(),
+        "op10_lm_score": lm_score.oracle(),
+    }
