@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lm_score, sentencepiece_codec, source_mix, substring_dedup, token_store
+from . import jaccard_join, lm_score, sentencepiece_codec, source_mix, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.intervals(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no")
 
@@ -35,12 +39,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op3_substring_dedup, op5_source_mix, op8_sentencepiece, op10_lm_score)}
+    return {f.__name__: f for f in (op2_token_store, op3_substring_dedup, op4_jaccard_join, op5_source_mix, op8_sentencepiece, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": substring_dedup.oracle(),
+        "op4_jaccard_join": jaccard_join.oracle(),
         "op5_source_mix": source_mix.oracle(),
         "op10_lm_score": lm_score.oracle(),
     }
