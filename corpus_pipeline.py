@@ -1,4 +1,51 @@
-STAGES = []
+"""Documents to training tokens: language ID, near duplicates, repeated passages, source mix, token ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glyphward.llm import jaccard_join, language_id, sentencepiece_codec, source_mix, substring_dedup
+from glyphward.llm.common import stage_table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language the classifier, fitted on a bounded sample of these rows, is sure of."""
+    return language_id.keep_accepted(docs, language_id.fit(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of documents that similar pairs connect."""
+    return jaccard_join.keep_one(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, passages that occur more than once cut out."""
+    return substring_dedup.remove(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's weight draws them."""
+    return source_mix.mix(docs).drop("copy_no")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row."""
+    return sentencepiece_codec.encode(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("jaccard_join", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("source_mix", mixed),
+    ("sentencepiece", token_ids),
+]
+#: SQL can't express the fitted classifier of the first stage or the tokenizer of the last.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

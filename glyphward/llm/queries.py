@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, lm_score, sentencepiece_codec, source_mix, substring_dedup, token_store
+from . import cap_filters, html_extract, jaccard_join, language_id, lm_score, media, sentencepiece_codec, source_mix, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.build(_table(spark, sf_dir, "documents"))
 
@@ -29,17 +34,32 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy_no")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(media.rendered_pages(_table(spark, sf_dir, "pages")), "page_id", "jpeg")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cap_filters.similar(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id_a", "vec_id_b", F.round("cosine", 5).alias("cosine"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_events", *[F.round(c, 6).alias(c) for c in ("ce_target", "ce_background", "ce_diff")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op3_substring_dedup, op4_jaccard_join, op5_source_mix, op8_sentencepiece, op10_lm_score)}
+    ours = (op1_language_id, op2_token_store, op3_substring_dedup, op4_jaccard_join, op5_source_mix)
+    ours += (op6_html_extract, op7_media, op8_sentencepiece, op9_embedding_dedup, op10_lm_score)
+    return {f.__name__: f for f in ours}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -47,5 +67,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substring_dedup.oracle(),
         "op4_jaccard_join": jaccard_join.oracle(),
         "op5_source_mix": source_mix.oracle(),
+        "op9_embedding_dedup": cap_filters.oracle(),
         "op10_lm_score": lm_score.oracle(),
     }
