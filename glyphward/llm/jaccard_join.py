@@ -32,7 +32,7 @@ THETA = 0.8
 N = 2
 #: An index entry of more sets than this is passed over (see above).
 HOT = 24
-_STEP = 4 << 20
+_STEP = 1 << 20
 _RARE = 12  # bits at most that a word counts
 _COMMON = 1.0 / (1 << _RARE)
 
@@ -295,7 +295,7 @@ def candidate_components(docs: DataFrame, theta: float = THETA, n: int = N, hot:
     docs = docs.select("doc_id", "text")
     words, bits, n_docs = word_bits(docs)
     plan = Plan(words, bits, n_docs, theta)
-    n_buckets = max(1, text_bytes(docs) // (8 << 20))
+    n_buckets = max(1, text_bytes(docs) // (4 << 20))
     blobs = docs.mapInArrow(_index(plan, n, n_buckets), "bucket int, sigs binary, owner binary, weight binary, nodes binary, modes binary, rooms binary")
     met = blobs.groupBy("bucket").applyInArrow(_meet(hot), "hot boolean, a long, b long, mode int, weight int, room int")
     met = stage_table(met, "agreements")
@@ -322,7 +322,7 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
     _, column = np.unique(token[shared], return_inverse=True)
     row = owner[shared]
     width = int(column.max()) + 1 if len(column) else 0
-    if n <= 3000:
+    if n <= 1500:
         inter = np.zeros((n, n), np.float32)
         order = np.argsort(column, kind="stable")
         column, row = column[order], row[order]
@@ -438,7 +438,7 @@ def _verify(theta: float, n: int, forest: bool):
     return run
 
 
-def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, forest: bool = False, block: int = 8192) -> DataFrame:
+def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, forest: bool = False, block: int = 4096) -> DataFrame:
     """doc_id_a < doc_id_b, overlap, total: pairs with overlap / total >= theta, each once.
 
     n-grams are of words: runs of letters, digits and non-ASCII characters, ASCII letters lower-cased.  A text of fewer than
