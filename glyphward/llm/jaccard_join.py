@@ -332,7 +332,7 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
             block = np.zeros((n, min(step, width - c)), np.float32)
             block[row[p:q], column[p:q] - c] = 1
             inter += block @ block.T
-        i, j = np.nonzero(np.triu(inter, 1) * (1 + theta) >= theta * (sizes[:, None] + sizes[None, :]) - 1e-6)
+        i, j = np.nonzero(np.triu(inter, 1).astype(np.float64) * (1 + theta) >= theta * (sizes[:, None] + sizes[None, :]) - 1e-6)
         keep = (i < j) & (inter[i, j] > 0)
         i, j = i[keep], j[keep]
         got = inter[i, j].astype(np.int64)
