@@ -272,7 +272,7 @@ def _meet(hot: int):
         many = np.bincount(group, fresh)[group]
         least = node[np.flatnonzero(new)][group]
         edge = fresh & (many >= 2) & (many <= hot) & (node != least)
-        pairs = np.unique(np.stack([least[edge], node[edge]], axis=1), axis=0)
+        pairs = np.unique(np.stack([least[edge], node[edge], mode[edge] >> 1], axis=1), axis=0)
         is_hot = many > hot
         k, h = len(pairs), int(is_hot.sum())
         zero = np.zeros(k, np.int32)
@@ -281,7 +281,7 @@ def _meet(hot: int):
                 "hot": pa.array(np.concatenate([np.zeros(k, bool), np.ones(h, bool)])),
                 "a": pa.array(np.concatenate([pairs[:, 0], sig[is_hot].view(np.int64)])),
                 "b": pa.array(np.concatenate([pairs[:, 1], node[is_hot]])),
-                "mode": pa.array(np.concatenate([zero, mode[is_hot]])),
+                "mode": pa.array(np.concatenate([pairs[:, 2].astype(np.int32) * 2, mode[is_hot]])),
                 "weight": pa.array(np.concatenate([zero, weight[is_hot].astype(np.int32)])),
                 "room": pa.array(np.concatenate([zero, room[is_hot]])),
             }
@@ -291,7 +291,11 @@ def _meet(hot: int):
 
 
 def candidate_components(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT) -> DataFrame:
-    """node (doc_id), component: every pair of at least theta lies in one component."""
+    """node (doc_id), component: every pair of at least theta lies in one component.
+
+    Entries of different bands never meet, so a document takes part in each of its (one or two) bands by itself, and
+    components don't grow together across bands.
+    """
     docs = docs.select("doc_id", "text")
     words, bits, n_docs = word_bits(docs)
     plan = Plan(words, bits, n_docs, theta)
@@ -299,13 +303,17 @@ def candidate_components(docs: DataFrame, theta: float = THETA, n: int = N, hot:
     blobs = docs.mapInArrow(_index(plan, n, n_buckets), "bucket int, sigs binary, owner binary, weight binary, nodes binary, modes binary, rooms binary")
     met = blobs.groupBy("bucket").applyInArrow(_meet(hot), "hot boolean, a long, b long, mode int, weight int, room int")
     met = stage_table(met, "agreements")
-    edges = met.filter("not hot").select("a", "b")
+    edges = met.filter("not hot").select("a", "b", F.shiftright("mode", 1).alias("band"))
     shared = met.filter("hot")
     lost = shared.groupBy("b", "mode").agg(F.sum("weight").alias("loss"), F.max("room").alias("room")).filter("loss > room").select("b", "mode")
-    dense = shared.join(lost, ["b", "mode"], "left_semi").select(F.col("a").alias("sig"), "b")
-    hubs = dense.groupBy("sig").agg(F.min("b").alias("a"))
-    stars = dense.join(hubs, "sig").select("a", "b")
-    return components(edges.unionByName(stars).filter("a <> b"))
+    dense = shared.join(lost, ["b", "mode"], "left_semi").select(F.col("a").alias("sig"), "b", F.shiftright("mode", 1).alias("band"))
+    hubs = dense.groupBy("sig", "band").agg(F.min("b").alias("a"))
+    stars = dense.join(hubs, ["sig", "band"]).select("a", "b", "band")
+    links = stage_table(edges.unionByName(stars).filter("a <> b").distinct(), "candidates")
+    # two nodes of one hash would only be verified together
+    tied = components(links.select(F.xxhash64("a", "band").alias("a"), F.xxhash64("b", "band").alias("b")))
+    names = links.select("a", "band").union(links.select("b", "band")).distinct().select(F.col("a").alias("doc"), F.xxhash64("a", "band").alias("node"))
+    return tied.join(names, "node").select(F.col("doc").alias("node"), "component").distinct()
 
 
 # ---------------------------------------------------------------- verification
