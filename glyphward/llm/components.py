@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage_table
+from .common import drop_staged, stage_table
 
 
 def _links(pairs: DataFrame) -> DataFrame:
@@ -25,7 +25,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # every link now points down; each node's lower neighbours are tied to its least one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = now
         now = stage_table(_links(tied.unionByName(low.select("u", F.col("m").alias("v")))), "links")
+        drop_staged(before)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen:
             break

@@ -23,9 +23,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import U64, bucket_cuts, hash_tokens, mix, ngram_hashes, pack_sorted, planes, slices, stage_table, string_buffers, text_bytes, unpack_sorted, unplanes
+from .common import U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, slices, stage_table, string_buffers, text_bytes, unpack_sorted, unplanes
 from .components import components
 
 THETA = 0.8
@@ -310,6 +311,7 @@ def candidate_components(docs: DataFrame, theta: float = THETA, n: int = N, hot:
     hubs = dense.groupBy("sig", "band").agg(F.min("b").alias("a"))
     stars = dense.join(hubs, ["sig", "band"]).select("a", "b", "band")
     links = stage_table(edges.unionByName(stars).filter("a <> b").distinct(), "candidates")
+    drop_staged(met)
     # two nodes of one hash would only be verified together
     tied = components(links.select(F.xxhash64("a", "band").alias("a"), F.xxhash64("b", "band").alias("b")))
     names = links.select("a", "band").union(links.select("b", "band")).distinct().select(F.col("a").alias("doc"), F.xxhash64("a", "band").alias("node"))
@@ -361,11 +363,16 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
         keys: list[np.ndarray] = []
         held, ready = 0, np.zeros(0, np.int64)
         for s, e in zip(starts.tolist(), ends.tolist()):
-            if e - s > 1:
-                p, q = np.triu_indices(e - s, 1)
-                keys.append(ho[s + p].astype(np.int64) * n + ho[s + q])
+            a = s
+            while a < e - 1:  # rows of the triangle of pairs, about a million pairs at once
+                z = min(e - 1, a + max(1, 1_000_000 // (e - a)))
+                later = e - 1 - np.arange(a, z)
+                p = np.repeat(np.arange(a, z), later)
+                q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(later) - later, later)
+                keys.append(ho[p].astype(np.int64) * n + ho[q])
                 held += len(p)
-                if held > 4_000_000:
+                a = z
+                if held > 1_000_000:
                     ready, keys, held = np.unique(np.concatenate([ready, *keys])), [], 0
         ready = np.unique(np.concatenate([ready, *keys]))
         i, j = ready // n, ready % n
@@ -393,23 +400,29 @@ def _verify(theta: float, n: int, forest: bool):
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
-        g, off, _, _ = ngram_sets(table.column("text"), n)
         where = np.stack([table.column(c).to_numpy() for c in ("component", "p", "q")], axis=1)
         _, which = np.unique(where, axis=0, return_inverse=True)
         which = which.ravel()
         block = table.column("block").to_numpy()
         order = np.lexsort((ids, block, which))
-        bounds = np.flatnonzero(np.diff(np.concatenate([[-1], which[order], [which.max() + 1]]))) if len(order) else []
+        table = table.take(pa.array(order))
+        ids, where, block, which = ids[order], where[order], block[order], which[order]
+        bounds = np.flatnonzero(np.diff(np.concatenate([[-1], which, [which.max() + 1]]))).tolist() if len(which) else []
+        held = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("text")).fill_null(0).to_numpy().astype(np.int64))])
         out = [[], [], [], []]
+        base = end = 0
         for s, e in zip(bounds, bounds[1:]):
-            rows = order[s:e]
-            p, q = where[rows[0], 1], where[rows[0], 2]
+            if e > end:  # the n-grams of this part and of some more, up to a few MB
+                base, end = s, max(e, bounds[int(np.searchsorted(held[bounds], held[s] + _STEP, "right")) - 1])
+                g, off, _, _ = ngram_sets(table.column("text").slice(base, end - base), n)
+            rows = np.arange(s, e)
+            p, q = where[s, 1], where[s, 2]
             classes: dict[tuple[int, bytes], list[int]] = {}
             for r in rows.tolist():
-                if off[r + 1] > off[r]:
-                    classes.setdefault((int(block[r]), g[off[r] : off[r + 1]].tobytes()), []).append(r)
+                if off[r + 1 - base] > off[r - base]:
+                    classes.setdefault((int(block[r]), g[off[r - base] : off[r + 1 - base]].tobytes()), []).append(r)
             members = [sorted({int(ids[r]) for r in v}) for v in classes.values()]
-            sets = [g[off[v[0]] : off[v[0] + 1]] for v in classes.values()]
+            sets = [g[off[v[0] - base] : off[v[0] + 1 - base]] for v in classes.values()]
             across = None if p == q else sum(1 for b, _ in classes if b == p)
             if across is None:
                 for a, s_ in zip(members, sets):
@@ -446,7 +459,7 @@ def _verify(theta: float, n: int, forest: bool):
     return run
 
 
-def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, forest: bool = False, block: int = 4096) -> DataFrame:
+def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, forest: bool = False, block: int = 2048) -> DataFrame:
     """doc_id_a < doc_id_b, overlap, total: pairs with overlap / total >= theta, each once.
 
     n-grams are of words: runs of letters, digits and non-ASCII characters, ASCII letters lower-cased.  A text of fewer than
