@@ -33,6 +33,8 @@ THETA = 0.8
 N = 2
 #: An index entry of more sets than this is passed over (see above).
 HOT = 24
+#: N-grams of the sets that one block of a component holds.
+BLOCK = 1_000_000
 _STEP = 1 << 20
 _RARE = 12  # bits at most that a word counts
 _COMMON = 1.0 / (1 << _RARE)
@@ -292,7 +294,7 @@ def _meet(hot: int):
 
 
 def candidate_components(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT) -> DataFrame:
-    """node (doc_id), component: every pair of at least theta lies in one component.
+    """node (doc_id), component, grams (about its n-grams): every pair of at least theta lies in one component.
 
     Entries of different bands never meet, so a document takes part in each of its (one or two) bands by itself, and
     components don't grow together across bands.
@@ -314,8 +316,9 @@ def candidate_components(docs: DataFrame, theta: float = THETA, n: int = N, hot:
     drop_staged(met)
     # two nodes of one hash would only be verified together
     tied = components(links.select(F.xxhash64("a", "band").alias("a"), F.xxhash64("b", "band").alias("b")))
-    names = links.select("a", "band").union(links.select("b", "band")).distinct().select(F.col("a").alias("doc"), F.xxhash64("a", "band").alias("node"))
-    return tied.join(names, "node").select(F.col("doc").alias("node"), "component").distinct()
+    names = links.select("a", "band").union(links.select("b", "band")).distinct().select(F.col("a").alias("doc"), "band", F.xxhash64("a", "band").alias("node"))
+    most = F.element_at(F.array(*[F.lit(h) for h in plan.his]), F.col("band") + 1)  # n-grams that a set of the band has at most
+    return tied.join(names, "node").groupBy(F.col("doc").alias("node"), "component").agg(F.max(most).cast("long").alias("grams"))
 
 
 # ---------------------------------------------------------------- verification
@@ -459,7 +462,7 @@ def _verify(theta: float, n: int, forest: bool):
     return run
 
 
-def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, forest: bool = False, block: int = 2048) -> DataFrame:
+def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, forest: bool = False, block: int = BLOCK) -> DataFrame:
     """doc_id_a < doc_id_b, overlap, total: pairs with overlap / total >= theta, each once.
 
     n-grams are of words: runs of letters, digits and non-ASCII characters, ASCII letters lower-cased.  A text of fewer than
@@ -468,12 +471,12 @@ def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, f
     id have no pair.  Other columns are not read.  ``forest`` gives, instead of all pairs, enough of them to connect what all
     of them connect.
 
-    A component of more than ``block`` documents is verified in pairs of blocks, so no task holds more than two.
+    A component of more than ``block`` n-grams is verified in pairs of blocks, so no task holds more than two.
     """
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     parts = stage_table(candidate_components(texts, theta, n, hot), "components")
-    count = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    parts = parts.join(count, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    count = parts.groupBy("component").agg(F.sum("grams").alias("size"))
+    parts = parts.join(count, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("grams")
     parts = parts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     matched = texts.join(parts, texts["doc_id"] == parts["node"]).drop("node", "size")
     n_bins = max(1, text_bytes(texts) // (4 << 20))

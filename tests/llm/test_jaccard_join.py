@@ -43,7 +43,7 @@ def test_equals_brute_force(spark, theta):
     rows = corpus()
     rows += [(1000 + k, "alike " * 3 + "many copies of one text " * 4) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, J.similar(df, theta, hot=5, block=16).collect()))
+    got = sorted(map(tuple, J.similar(df, theta, hot=5, block=400).collect()))
     assert got == brute(rows, theta)
 
 
