@@ -7,6 +7,8 @@ finished by a loop of its own.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 ZIGZAG = np.array(
@@ -173,6 +175,25 @@ def lookup(spec: bytes) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=16)
+def _as_list(spec: bytes) -> list[int]:
+    return lookup(spec).tolist()
+
+
+@lru_cache(maxsize=64)
+def steps(spec: bytes, ac: bool) -> np.ndarray:
+    """``lookup`` with what a symbol moves: bits in all, places in the block (64 ends it, 128 breaks off), code length, size."""
+    table = lookup(spec).astype(np.int32)
+    length, s = table >> 8, table & 255
+    size = s & 15 if ac else s
+    if ac:
+        move = np.where(size > 0, (s >> 4) + 1, np.where(s == 0xF0, 16, 64))
+    else:
+        move = np.where(s > 15, 128, 1)
+        size = np.minimum(size, 15)
+    return np.where(length == 0, 128 << 8, (length + size) | move << 8 | length << 16 | size << 24).astype(np.int32)
+
+
 class _Lane:
     __slots__ = ("bits", "blocks", "ac", "comp", "dc", "fail", "n", "out")
 
@@ -186,8 +207,8 @@ def _finish(lane: _Lane, bit: int, block: int, k: int, pred: list[int]) -> None:
     """The rest of a scan, symbol by symbol."""
     data = lane.bits + b"\xff" * 16
     last = 8 * len(lane.bits)
-    dc = [lookup(t).tolist() for t in lane.dc]
-    ac = [lookup(t).tolist() for t in lane.ac]
+    dc = [_as_list(t) for t in lane.dc]
+    ac = [_as_list(t) for t in lane.ac]
     comp, out, n = lane.comp.tolist(), lane.out, lane.n
     width = len(comp)
     while block < n:
@@ -239,10 +260,11 @@ def decode_lanes(lanes: list[_Lane]) -> None:
         for lane in lanes:
             _finish(lane, 0, 0, 0, [0] * len(lane.dc))
         return
-    tables = np.concatenate([lookup(t) for t in specs])
+    tables = np.concatenate([steps(t, False) for t in specs] + [steps(t, True) for t in specs])
     pad = b"\xff" * 16
     base = np.cumsum([0] + [len(lane.bits) + 16 for lane in lanes])[:-1].astype(np.int64)
-    raw = np.frombuffer(b"".join(lane.bits + pad for lane in lanes), np.uint8)
+    # a lane that runs off its end is stopped where its block ends, 64 symbols later at most
+    raw = np.frombuffer(b"".join(lane.bits + pad for lane in lanes) + b"\xff" * 512, np.uint8)
     word = raw[:-3].astype(np.uint32) << np.uint32(24)
     for k in (1, 2, 3):
         word |= raw[k : len(raw) - 3 + k].astype(np.uint32) << np.uint32(8 * (3 - k))
@@ -254,46 +276,44 @@ def decode_lanes(lanes: list[_Lane]) -> None:
     for i, lane in enumerate(lanes):
         comp[i, : len(lane.comp)], period[i], blocks[i] = lane.comp, len(lane.comp), lane.n
         kinds[i, 0, : len(lane.dc)] = [specs[t] << 16 for t in lane.dc]
-        kinds[i, 1, : len(lane.ac)] = [specs[t] << 16 for t in lane.ac]
+        kinds[i, 1, : len(lane.ac)] = [specs[t] + len(specs) << 16 for t in lane.ac]
     place = np.cumsum(blocks) - blocks
     diffs = np.zeros(int(blocks.sum()), np.int64)
-    block, k = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    turn = np.zeros(n, np.int64)
     failed = np.zeros(n, bool)
     live = np.flatnonzero(blocks > 0)
-    lb, lk, lbit = block[live], k[live], bit[live]
-    lturn, ldc, lac = turn[live], kinds[live, 0, comp[live, 0]], kinds[live, 1, comp[live, 0]]
+    lb, lk, lbit, lturn = (np.zeros(len(live), np.int64) for _ in range(4))
+    lbit = bit[live]
+    ltab, lac = kinds[live, 0, comp[live, 0]], kinds[live, 1, comp[live, 0]]
     llast, lblocks, lplace = last[live], blocks[live], place[live]
     while len(live) >= FEW:
-        first = lk == 0
         peek = word[lbit >> 3] << (lbit & 7).astype(np.uint32)  # 25 bits are sure
-        e = tables[np.where(first, ldc, lac) + (peek >> np.uint32(16))].astype(np.int64)
-        length, s = e >> 8, e & 255
-        extra = np.where(first, s, s & 15)
-        at = lbit + length
-        lbit = at + extra
-        bad = (length == 0) | (lbit > llast) | (first & (s > 15))
-        f = np.flatnonzero(first & ~bad)
+        e = tables[ltab + (peek >> np.uint32(16))]
+        f = np.flatnonzero(lk == 0)
         if len(f):
-            x = (word[at[f] >> 3] << (at[f] & 7).astype(np.uint32)).astype(np.int64) & 0xFFFFFFFF
-            sf = s[f]
+            ef = e[f]
+            at, sf = lbit[f] + (ef >> 16 & 31), (ef >> 24 & 15).astype(np.int64)
+            x = (word[at >> 3] << (at & 7).astype(np.uint32)).astype(np.int64) & 0xFFFFFFFF
             v = x >> (32 - sf)
             diffs[lplace[f] + lb[f]] = np.where(sf == 0, 0, np.where(v >> np.maximum(sf - 1, 0), v, v - (1 << sf) + 1))
-        lk = np.where(first, 1, np.where(extra > 0, lk + (s >> 4) + 1, np.where(s == 0xF0, lk + 16, 64)))
-        done = np.flatnonzero((lk >= 64) | bad)
+            ltab[f] = lac[f]
+        lbit += e & 255
+        lk += e >> 8 & 255
+        done = np.flatnonzero(lk >= 64)
         if len(done):
+            bad = (lk[done] >= 128) | (lbit[done] > llast[done])
             lk[done] = 0
             lb[done] += 1
             t = lturn[done] + 1
             t[t == period[live[done]]] = 0
             lturn[done] = t
             c = comp[live[done], t]
-            ldc[done], lac[done] = kinds[live[done], 0, c], kinds[live[done], 1, c]
-            failed[live[bad]] = True
-            over = bad | (lb >= lblocks)
+            ltab[done], lac[done] = kinds[live[done], 0, c], kinds[live[done], 1, c]
+            failed[live[done[bad]]] = True
+            over = bad | (lb[done] >= lblocks[done])
             if over.any():
-                keep = ~over
-                live, lb, lk, lbit, lturn, ldc, lac = live[keep], lb[keep], lk[keep], lbit[keep], lturn[keep], ldc[keep], lac[keep]
+                keep = np.ones(len(live), bool)
+                keep[done[over]] = False
+                live, lb, lk, lbit, lturn, ltab, lac = live[keep], lb[keep], lk[keep], lbit[keep], lturn[keep], ltab[keep], lac[keep]
                 llast, lblocks, lplace = llast[keep], lblocks[keep], lplace[keep]
     rest = {int(i): (int(b), int(q), int(p)) for i, b, q, p in zip(live, lb, lk, lbit)}
     for i, lane in enumerate(lanes):
@@ -401,6 +421,7 @@ def _ac_spec() -> bytes:
 _AC = _ac_spec()
 
 
+@lru_cache(maxsize=16)
 def _codes(spec: bytes) -> tuple[np.ndarray, np.ndarray]:
     code, k = 0, 16
     value, size = np.zeros(256, np.uint64), np.zeros(256, np.int64)
@@ -453,13 +474,19 @@ def encode_gray(image: np.ndarray, quant: int = 16, restart: int = 0) -> bytes:
     body = []
     cuts = np.searchsorted(block, np.arange(0, n, every)).tolist() + [len(block)]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        total = int(lens_[a:b].sum())
-        which = np.repeat(np.arange(a, b), lens_[a:b])
-        start = np.repeat(np.cumsum(lens_[a:b]) - lens_[a:b], lens_[a:b])
-        shift = lens_[which] - 1 - (np.arange(total) - start)
-        stream = (bits_[which] >> shift.astype(np.uint64) & np.uint64(1)).astype(np.uint8)
-        stream = np.concatenate([stream, np.ones(-total % 8, np.uint8)])
-        body.append((b"" if i == 0 else bytes([0xFF, 0xD0 + (i - 1) % 8])) + np.packbits(stream).tobytes().replace(b"\xff", b"\xff\x00"))
+        size_ = lens_[a:b]
+        start = np.cumsum(size_) - size_
+        total = int(size_.sum())
+        # each symbol (27 bits at most) lies in a 32-bit word and perhaps the next; no bits overlap, so words are sums
+        wide = bits_[a:b] << (64 - (start & 31) - size_).astype(np.uint64)
+        word = start >> 5
+        n_words = total // 32 + 2
+        words = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), n_words)
+        words += np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), n_words)
+        raw = bytearray(words.astype(">u4").tobytes()[: (total + 7) // 8])
+        if total % 8:
+            raw[-1] |= (1 << (8 - total % 8)) - 1
+        body.append((b"" if i == 0 else bytes([0xFF, 0xD0 + (i - 1) % 8])) + bytes(raw).replace(b"\xff", b"\xff\x00"))
     seg = lambda mark, payload: bytes([0xFF, mark]) + (len(payload) + 2).to_bytes(2, "big") + payload
     out = b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([quant]) * 64)
     out += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([1, 1, 0x11, 0]))
