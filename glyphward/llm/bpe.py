@@ -16,6 +16,8 @@ import re
 import ahocorasick
 import numpy as np
 
+from .common import hash_tokens
+
 MARK = "▁"
 _SLOW = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _SLOW_NO_LF = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -246,10 +248,8 @@ class MergeModel:
             return (_SLOW if self.split_lf else _SLOW_NO_LF).findall(MARK + text.replace(" ", MARK))
         return (MARK + text.replace(" ", " " + MARK)).replace("\n", " \n ").split(" ")
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text.  Segments are remembered in two generations of bounded size."""
-        per = [self.segments(t) for t in texts]
-        segs = [s for x in per for s in x]
+    def encode_segments(self, segs: list[str]) -> list[bytes]:
+        """Ids of segments.  They are remembered in two generations of bounded size."""
         get = self.cache.get
         parts = list(map(get, segs))
         if None in parts:
@@ -269,11 +269,85 @@ class MergeModel:
                 self.old, self.cache = self.cache, {}
             self.cache.update((k, v) for k, v in local.items() if len(k) <= 64)
             parts = [local[s] if p is None else p for s, p in zip(segs, parts)]
-        out, i = [], 0
-        for x in per:
-            out.append(b"".join(parts[i : i + len(x)]))
-            i += len(x)
-        return out
+        return parts
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 texts end to end, and the rows' offsets in them.
+
+        Texts whose blanks are single are cut into segments by numpy, and each distinct segment is looked up once; segments
+        are told apart by a 64-bit hash, those of over 64 bytes by their place.  Other texts are cut one by one.
+        """
+        n = len(offsets) - 1
+        sizes = np.diff(offsets)
+        slow = np.zeros(n, bool)
+        if not self.split_lf:
+            slow[:] = True
+        elif len(data):
+            some = np.flatnonzero(sizes > 0)
+            slow[some] = data[offsets[some]] == 32
+            odd = np.flatnonzero((data[:-1] == 32) & (data[1:] == 32)) + 1
+            mark = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+            slow[np.searchsorted(offsets, np.concatenate([odd, mark]), "right") - 1] = True
+        out_rows: list[np.ndarray] = []
+        counts = np.zeros(n, np.int64)
+        order: list[np.ndarray] = []
+        fast = np.flatnonzero(~slow & (sizes > 0))
+        if len(fast):
+            ids, per = self._encode_fast(data, offsets, fast)
+            counts[fast] = per
+            out_rows.append(ids)
+            order.append(np.repeat(fast, per))
+        for r in np.flatnonzero(slow & (sizes > 0)).tolist():
+            ids = np.frombuffer(b"".join(self.encode_segments(self.segments(data[offsets[r] : offsets[r + 1]].tobytes().decode()))), self.dtype)
+            counts[r] = len(ids)
+            out_rows.append(ids)
+            order.append(np.full(len(ids), r))
+        flat = np.concatenate(out_rows) if out_rows else np.zeros(0, self.dtype)
+        if len(out_rows) > 1:
+            flat = flat[np.argsort(np.concatenate(order), kind="stable")]
+        return flat, np.concatenate([[0], np.cumsum(counts)])
+
+    def _encode_fast(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(rows) < len(offsets) - 1:
+            size = np.diff(offsets)[rows]
+            at = np.repeat(offsets[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            data, offsets = data[at], np.concatenate([[0], np.cumsum(size)])
+        h, begin, end, _ = hash_tokens(data, offsets, "blank", ends=True)
+        heads = offsets[:-1]
+        opens = np.zeros(len(data) + 1, bool)
+        opens[heads] = True
+        marked = opens[begin] | (data[np.maximum(begin - 1, 0)] == 32)
+        key = h ^ np.where(marked, np.uint64(0x9D39247E33776D41), np.uint64(0))
+        long = np.flatnonzero(end - begin > 64)
+        key[long] = long.astype(np.uint64) | np.uint64(1 << 63)  # a place of its own
+        feed = np.flatnonzero(data == 10)
+        last = np.zeros(len(data) + 1, bool)
+        last[offsets[1:]] = True
+        blank = np.flatnonzero(data == 32)
+        # a mark that no word follows: a blank before a line feed or the end, or a text that begins with a line feed
+        bare = blank[last[blank + 1] | (data[np.minimum(blank + 1, len(data) - 1)] == 10)]
+        bare_head = heads[data[heads] == 10]
+        place = np.concatenate([begin * 2 + 1, feed * 2 + 1, bare * 2 + 1, bare_head * 2])
+        keys = np.concatenate([key, np.full(len(feed), 1, np.uint64), np.full(len(bare) + len(bare_head), 2, np.uint64)])
+        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        marks, b, e, n_words = marked.tolist(), begin.tolist(), end.tolist(), len(begin)
+        raw = data.tobytes()
+        segs = [
+            ((MARK if marks[i] else "") + raw[b[i] : e[i]].decode()) if i < n_words else "\n" if i < n_words + len(feed) else MARK for i in first.tolist()
+        ]
+        parts = self.encode_segments(segs)
+        width = self.dtype.itemsize
+        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+        flat = np.frombuffer(b"".join(parts), self.dtype)
+        starts = np.cumsum(lens) - lens
+        turn = np.argsort(place, kind="stable")
+        which = inverse.ravel()[turn]
+        k = lens[which]
+        ends = np.cumsum(k)
+        ids = flat[np.repeat(starts[which] - (ends - k), k) + np.arange(int(k.sum()))]
+        row = np.searchsorted(place[turn], offsets * 2)
+        total = np.concatenate([[0], ends])
+        return ids, np.diff(total[row])
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Segments' ids; all that the dense tables cover go through the search in step."""
@@ -290,11 +364,9 @@ class MergeModel:
                 out[i] = ids
         return out
 
-    def encode_bytes(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
-
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), self.dtype).tolist()
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_rows(raw, np.array([0, len(raw)]))[0].tolist()
 
     # -- decoding
 

@@ -107,8 +107,14 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 def byte_table(kind: str) -> np.ndarray:
     """Byte classes: 0 separates tokens.  ``space``: tokens are runs of anything but ASCII white space.
-    ``word``: runs of ASCII letters (lower-cased), digits and non-ASCII bytes."""
+    ``word``: runs of ASCII letters (lower-cased), digits and non-ASCII bytes.  ``blank``: runs of anything but blanks and line
+    feeds, every byte told apart (UTF-8 has no byte 255)."""
     table = np.zeros(256, np.uint8)
+    if kind == "blank":
+        table[:] = np.arange(256)
+        table[0] = 255
+        table[[10, 32]] = 0
+        return table
     if kind == "space":
         table[:] = np.arange(256)
         table[0] = 1
@@ -121,7 +127,7 @@ def byte_table(kind: str) -> np.ndarray:
     return table
 
 
-TABLES = {k: byte_table(k) for k in ("space", "word")}
+TABLES = {k: byte_table(k) for k in ("space", "word", "blank")}
 
 
 def hash_tokens(data: np.ndarray, offsets: np.ndarray, kind: str, ends: bool = False, block: int = 1 << 20):

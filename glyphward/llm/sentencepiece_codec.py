@@ -13,7 +13,7 @@ from .bpe import model_of
 from .common import slices, string_buffers
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of text that are encoded in one call.
+#: Bytes of text that are encoded in one call.
 _STEP = 4 << 20
 
 
@@ -23,17 +23,17 @@ def load_model(path: str = DEFAULT_MODEL) -> bytes:
 
 
 def encoded_slices(model, texts: pa.Array):
-    """(first row, last row, ids as bytes) of parts of a text column, in order."""
-    _, offsets = string_buffers(texts)
+    """(first row, last row, ids, the rows' offsets in them) of parts of a text column, in order; a null has no ids."""
+    data, offsets = string_buffers(texts)
     for i, j in slices(offsets, _STEP):
-        part = texts.slice(i, j - i).to_pylist()
         collecting = gc.isenabled()
         gc.disable()
         try:
-            yield i, j, part, model.encode_many([t or "" for t in part])
+            ids, at = model.encode_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         finally:
             if collecting:
                 gc.enable()
+        yield i, j, ids, at
 
 
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -49,18 +49,16 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             ids_column = batch.column("doc_id")
-            for i, j, part, raw in encoded_slices(model, texts):
-                arrays = [np.frombuffer(r, model.dtype) for r in raw]
-                exact = [None if t is None else model.decode(a.tolist()) == t for t, a in zip(part, arrays)]
-                sizes = np.array([len(a) for a in arrays], np.int32)
-                values = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
-                nulls = pa.array([t is None for t in part])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=None)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(values), mask=nulls)
+            for i, j, ids, at in encoded_slices(model, texts):
+                part = texts.slice(i, j - i).to_pylist()
+                none = np.array([t is None for t in part], bool)
+                cuts, flat = at.tolist(), ids.tolist()
+                exact = [None if t is None else model.decode(flat[a:b]) == t for t, a, b in zip(part, cuts, cuts[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(none))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids_column.slice(i, j - i),
-                        pa.array(sizes, mask=np.array([t is None for t in part], bool)),
+                        pa.array(np.diff(at).astype(np.int32), mask=none),
                         lists,
                         pa.array(exact, pa.bool_()),
                     ],

@@ -11,6 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,13 +38,16 @@ def serialize(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches):
         model = model_of(blob)
         for batch in batches:
-            for i, j, part, raw in encoded_slices(model, batch.column("text")):
-                none = np.array([t is None for t in part], bool)
+            for i, j, ids, at in encoded_slices(model, batch.column("text")):
+                valid = batch.column("text").slice(i, j - i).is_valid()
+                none = ~valid.to_numpy(zero_copy_only=False)
+                cuts = pa.py_buffer((at * model.dtype.itemsize).astype(np.int32))
+                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, cuts, pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
-                        pa.array(np.array([len(r) // model.dtype.itemsize for r in raw], np.int32), mask=none),
-                        pa.array([None if x else r for x, r in zip(none, raw)], pa.binary()),
+                        pa.array(np.diff(at).astype(np.int32), mask=none),
+                        pc.if_else(valid, raw, pa.scalar(None, pa.binary())),
                     ],
                     names=["doc_id", "n_tokens", "raw"],
                 )
