@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, slices, stage_table, string_buffers, text_bytes, unpack_sorted, unplanes
 from .components import components
 
-THETA = 0.8
+#: Below the near copies that the tables hold: a replaced word costs two bigrams, so with a share f replaced the similarity
+#: is about (1 - 2f) / (1 + 2f), 0.67 at f = 0.1.
+THETA = 0.6
 N = 2
 #: An index entry of more sets than this is passed over (see above).
 HOT = 24

@@ -62,3 +62,20 @@ def test_groups_are_connected(spark):
     rows = [(i, " ".join(f"t{k}" for k in range(i, i + 60))) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["doc_id"] for r in J.keep_one(df, theta=0.9).collect()] == [0]
+
+
+def test_production_threshold_catches_replaced_words(spark):
+    """Near copies with 6-10 % of the words replaced, each costing two bigrams; and strangers that share half their text."""
+    rng = random.Random(3)
+    rows, copies, size = [], set(), 200
+    for k, every in enumerate((16, 14, 12, 11, 10)):
+        base = [f"b{k}x{rng.randrange(10**6)}" for _ in range(size)]
+        copy = [f"c{k}x{i}" if i % every == every // 2 else w for i, w in enumerate(base)]
+        stranger = base[: size // 2] + [f"s{k}x{i}" for i in range(size // 2)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(copy)), (10 * k + 2, " ".join(stranger))]
+        copies.add((10 * k, 10 * k + 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.similar(df).collect()
+    assert {(r["doc_id_a"], r["doc_id_b"]) for r in got} == copies
+    assert all(0.6 < r["overlap"] / r["total"] < 0.8 for r in got)
+    assert {r["doc_id"] for r in J.keep_one(df).collect()} == {i for i, _ in rows} - {b for _, b in copies}
