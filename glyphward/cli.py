@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphward.functions import text as T
-from glyphward.operators import docx_rules, glyphs, html_rules, painter, text_rules
+from glyphward.functions.letters import latin_letter
+from glyphward.operators import docx_rules, glyphs, html_rules, painter, registry, text_rules
 from glyphward.operators.findings import gate, union
 from glyphward.plans import report
 from glyphward.sources import docx, fonts, html, pdf, registry_json
@@ -20,8 +21,61 @@ def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", T.format_of(F.col("path")).alias("format"), "content")
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """Findings of files (doc_id, format, content)."""
+_SCALAR = "cp between 1 and 1114111 and cp not between 55296 and 57343"
+
+
+def character(cp: str) -> Column:
+    """The character of a column of code points (scalar values only)."""
+    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+
+
+def font_rules(kind: str, faces: DataFrame, cmap: DataFrame, own: DataFrame, mappings: DataFrame, words: DataFrame, known: tuple[DataFrame, DataFrame] | None):
+    """(findings, phrases, verdicts) of embedded fonts: ``own`` has each font's letters and outlines, ``mappings`` all (doc_id,
+    outline_hash, letter) that the text reaches; ``known`` are a registry's faces and outlines."""
+    pairs = glyphs.collisions(mappings)
+    found = [glyphs.replacement_findings(pairs, kind)]
+    lies = pairs if kind != "PDF" else pairs.join(glyphs.uniform_shift(pairs), "doc_id", "left_anti")
+    subs = glyphs.substitution_map(lies).withColumn("verdict", F.lit("Unconfirmed"))
+    pristine = None
+    if known is not None:
+        pristine = registry.identify(faces, known[0]).filter("status = 'Pristine'")
+        claims = own.join(faces.select("doc_id", "font_ord", "family"), ["doc_id", "font_ord"]).select("doc_id", "family", F.col("cp").alias("claimed_cp"), "outline_hash")
+        drawn = registry.canonical_substitutions(claims, *registry.family_outlines(*known)).join(lies.select("doc_id").distinct(), "doc_id", "left_semi")
+        found.append(registry.canonical_findings(drawn, lies, kind))
+        sure = drawn.select("doc_id", F.lower(character("claimed_cp")).alias("lie"), F.lower(character("drawn_cp")).alias("truth"))
+        sure = sure.groupBy("doc_id", "lie").agg(F.min("truth").alias("truth")).withColumn("verdict", F.lit("Confirmed"))
+        subs = subs.join(sure.select("doc_id"), "doc_id", "left_anti").unionByName(sure)
+    found.append(glyphs.pua_cmaps(faces, cmap, pristine))
+    swaps = subs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("lie", "truth"))).alias("swaps"), F.first("verdict").alias("verdict"))
+    phrases = text_rules.phrases(words.join(swaps.drop("verdict"), "doc_id"), T.apply_column_map(F.col("sentence"), F.col("swaps")))
+    return union(*found), phrases, swaps.select("doc_id", "verdict")
+
+
+def pdf_font_rules(pdfs: DataFrame, to: DataFrame, page_runs: DataFrame, known):
+    faces, cmap, own, outlines, cids = (pdf.read_table(pdfs, k) for k in ("faces", "cmap", "glyphs", "outlines", "cid_gid"))
+    codes = glyphs.tounicode_map(to).join(faces.filter("type0").select("doc_id", "font_ord", "own_cid_map"), ["doc_id", "font_ord"])
+    cids = cids.unionByName(glyphs.identity_cid_gid(codes.filter("not own_cid_map")))
+    reached = glyphs.type0_mappings(codes, cids, outlines).select("doc_id", "cp", "outline_hash").unionByName(own.select("doc_id", "cp", "outline_hash"))
+    mappings = glyphs.letter_mappings(reached.filter(_SCALAR).withColumn("letter", character("cp")))
+    runs = page_runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "op_ord", "text"))).alias("r"))
+    return font_rules("PDF", faces, cmap, own, mappings, runs.select("doc_id", F.array_join("r.text", " ").alias("text")), known)
+
+
+def docx_font_rules(files: DataFrame, words: DataFrame, known):
+    faces, cmap, own = (docx.read_faces(files, k) for k in ("faces", "cmap", "glyphs"))
+    letters = words.select("doc_id", F.explode(F.split("text", "")).alias("c")).select("doc_id", latin_letter(F.col("c")).alias("letter")).filter("letter is not null").distinct()
+    mappings = glyphs.letter_mappings(own.filter(_SCALAR).withColumn("letter", character("cp")))
+    found, phrases, verdicts = font_rules("DOCX", faces.filter("parsed"), cmap, own, glyphs.in_document(mappings, letters), words, known)
+    return union(found, glyphs.unreadable_fonts(faces)), phrases, verdicts
+
+
+def scan(files: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Findings of files (doc_id, format, content); ``known`` as registry_json.load gives it."""
+    return examine(files, known)[0]
+
+
+def examine(files: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings, phrases that replaced glyphs change, and verdicts of files (doc_id, format, content)."""
     pages = files.filter("format = 'html'").select("doc_id", F.decode("content", "UTF-8").alias("html"))
     read = html.read_pages(pages)
     runs = docx.read_runs(files.filter("format = 'docx'")).withColumn("run_ord", F.col("part_ord") * 1_000_000 + F.col("run_ord"))
@@ -29,7 +83,11 @@ def scan(files: DataFrame) -> DataFrame:
     pdfs = files.filter("format = 'pdf'")
     page_runs, regions, media, pdf_fonts, to = (pdf.read_table(pdfs, k) for k in ("runs", "regions", "media", "fonts", "tounicode"))
     tallies = painter.page_tallies(painter.with_background(page_runs, regions, media), painter.image_coverage(regions.filter("is_image"), media), media)
-    return union(
+    in_pdf, pdf_phrases, pdf_verdicts = pdf_font_rules(pdfs, to, page_runs, known)
+    in_docx, docx_phrases, docx_verdicts = docx_font_rules(files.filter("format = 'docx'"), words, known)
+    found = union(
+        in_pdf,
+        in_docx,
         text_rules.hygiene(read.select("doc_id", F.col("dom_text").alias("text"))),
         html_rules.style_findings(read),
         html_rules.webfont_findings(read),
@@ -40,6 +98,7 @@ def scan(files: DataFrame) -> DataFrame:
         glyphs.custom_differences(pdf_fonts),
         glyphs.garbled_tounicode(to),
     )
+    return found, pdf_phrases.unionByName(docx_phrases), pdf_verdicts.unionByName(docx_verdicts)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -48,6 +107,7 @@ def main(argv: list[str] | None = None) -> int:
     s = commands.add_parser("scan")
     s.add_argument("paths", nargs="+")
     s.add_argument("--format-out", choices=("human", "json"), default="human")
+    s.add_argument("--registry", help="file or folder of a font registry")
     b = commands.add_parser("build-registry")
     b.add_argument("--fonts-dir", required=True)
     b.add_argument("--out", required=True)
@@ -59,8 +119,9 @@ def main(argv: list[str] | None = None) -> int:
         registry_json.save(faces, args.out, args.slim)
         return 0
     files = load_files(spark, args.paths)
-    found = scan(files).persist()
-    table = report.reports(files.filter("format is not null"), found)
+    found, phrases, verdicts = examine(files, registry_json.load(spark, args.registry) if args.registry else None)
+    found = found.persist()
+    table = report.reports(files.filter("format is not null"), found, phrases, verdicts)
     print(report.as_text(table) if args.format_out == "human" else "\n".join(r["report"] for r in report.as_json(table).toLocalIterator()))
     return int(gate(found).first()["exit_code"])
 

@@ -11,7 +11,7 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .fonts import parse_faces
+from .fonts import letter_glyphs, parse_faces
 
 PARTS = re.compile(r"^word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml$")
 _OFF = ("false", "0", "off")
@@ -163,7 +163,7 @@ def read_package(blob: bytes) -> dict:
                 for run in parse_runs(z.read(name)):
                     runs.append(run | {"part": name, "part_ord": part_ord})
                 part_ord += 1
-        faces = []
+        faces, keys = [], []
         if "word/fontTable.xml" in names:
             rels = parse_rels(z.read("word/_rels/fontTable.xml.rels")) if "word/_rels/fontTable.xml.rels" in names else {}
             table = parse_font_table(z.read("word/fontTable.xml"))
@@ -178,6 +178,10 @@ def read_package(blob: bytes) -> dict:
                 tries = [data] + [deobfuscate(data, k, back) for k in [face["key"], *keys] for back in (True, False)]
                 parsed = next((p for p in (parse_faces(d) for d in tries) if p), [])
                 faces.append(face | {"part": path, "parsed": parsed})
+        for name in sorted({n for n in names if n.lower().endswith(".odttf")} - {f["part"] for f in faces}):  # no relationship names them
+            data = z.read(name)
+            parsed = next((p for p in (parse_faces(d) for d in [data] + [deobfuscate(data, k, back) for k in keys for back in (True, False)]) if p), [])
+            faces.append({"family": None, "slot": None, "rid": None, "key": None, "part": name, "parsed": parsed})
         core = z.read("docProps/core.xml") if "docProps/core.xml" in names else None
         app = z.read("docProps/app.xml") if "docProps/app.xml" in names else None
     tags = {"title": core, "subject": core, "creator": core, "keywords": core, "lastModifiedBy": core, "created": core, "modified": core, "Application": app, "Company": app}
@@ -204,6 +208,43 @@ def read_runs(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(run, RUN_SCHEMA)
 
 
+FACES = "doc_id long, font_ord int, part string, parsed boolean, family string, full string, postscript string, file_sha string, cmap_sha string"
+GLYPHS = "doc_id long, font_ord int, subtable_ord int, cp int, gid int, outline_hash long"
+CMAP = "doc_id long, font_ord int, cp int"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _face_rows(kind: str, doc: int, faces: list[dict]):
+    parts = {f["part"]: f["parsed"] for f in faces}
+    every = [(part, face) for part, parsed in parts.items() for face in parsed or [None]]
+    for k, (part, face) in enumerate(every):
+        key = {"doc_id": doc, "font_ord": k}
+        if kind == "faces":
+            yield (face or {}) | key | {"part": part, "parsed": face is not None}
+        elif face and kind == "glyphs":
+            yield from (key | g for g in letter_glyphs(face))
+        elif face and kind == "cmap":
+            yield from (key | {"cp": c} for c in face["cmap"])
+
+
+def read_faces(files: DataFrame, kind: str) -> DataFrame:
+    """One of the tables faces, glyphs, cmap of the fonts embedded in files (doc_id, content); each part counts once."""
+    schema = {"faces": FACES, "glyphs": GLYPHS, "cmap": CMAP}[kind]
+    fields = [f.split() for f in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    rows += _face_rows(kind, doc, read_package(blob or b"")["faces"])
+                except (zipfile.BadZipFile, expat.ExpatError, KeyError, ValueError, IndexError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
+
+    return files.select("doc_id", "content").mapInArrow(run, schema)
+
+
 def read_errors(files: DataFrame) -> DataFrame:
     """doc_id, error of files that can't be read."""
 

@@ -187,6 +187,7 @@ def parse_face(data: bytes, at: int, index: int) -> dict:
         "cmap": cmap,
         "maps": maps,
         "outlines": outlines,
+        "hash_of": (lambda gid: outline_hash(glyphs.contours(gid))) if glyphs is not None else (lambda gid: None),
         "file_sha": hashlib.sha256(data).hexdigest(),
         "cmap_sha": hashlib.sha256(packed).hexdigest(),
     }
@@ -208,6 +209,16 @@ def parse_faces(data: bytes) -> list[dict]:
     return out
 
 
+def letter_glyphs(face: dict) -> list[dict]:
+    """subtable_ord, cp, gid, outline_hash of the Latin letters of every Unicode subtable; empty outlines are left out."""
+    out = []
+    for k, m in enumerate(face["maps"]):
+        for c, g in m.items():
+            if unicodedata.name(chr(c), "").startswith("LATIN") and chr(c).isalpha() and (h := face["hash_of"](g)) is not None:
+                out.append({"subtable_ord": k, "cp": c, "gid": g, "outline_hash": h})
+    return out
+
+
 FACE_SCHEMA = "path string, face_index int, family string, full string, postscript string, num_glyphs int, units_per_em int, file_sha string, cmap_sha string, cps array<struct<cp:int,gid:int,outline_hash:bigint>>"
 
 

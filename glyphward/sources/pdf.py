@@ -9,12 +9,15 @@ transparency is not looked at.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .fonts import letter_glyphs, parse_faces
+
 _HEADER = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b")
 _WHITE = b"\x00\t\n\x0c\r "
 _DELIMITERS = b"()<>[]{}/%"
@@ -474,6 +477,11 @@ REGIONS = "doc_id long, page int, op_ord int, rect_ord int, x0 double, y0 double
 MEDIA = "doc_id long, page int, x0 double, y0 double, x1 double, y1 double"
 FONTS = "doc_id long, font_ord int, base_name string, type0 boolean, has_differences boolean, program binary"
 TOUNICODE = "doc_id long, font_ord int, base_name string, code_lo int, code_hi int, dst_hex string"
+FACES = "doc_id long, font_ord int, type0 boolean, own_cid_map boolean, family string, full string, postscript string, file_sha string, cmap_sha string"
+GLYPHS = "doc_id long, font_ord int, subtable_ord int, cp int, gid int, outline_hash long"
+CMAP = "doc_id long, font_ord int, cp int"
+OUTLINES = "doc_id long, font_ord int, gid int, outline_hash long"
+CID_GID = "doc_id long, font_ord int, cid int, gid int"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -497,11 +505,27 @@ def _rows(kind: str, doc: int, got: dict):
         for f in got["fonts"]:
             for e in f["tounicode"]:
                 yield {"doc_id": doc, "font_ord": f["font_ord"], "base_name": f["base_name"], **e}
+    else:
+        for f in got["fonts"]:
+            key = {"doc_id": doc, "font_ord": f["font_ord"]}
+            cid = f["cid_gid"] or b""
+            if kind == "cid_gid" and f["type0"]:
+                yield from (key | {"cid": c, "gid": int.from_bytes(cid[2 * c : 2 * c + 2], "big")} for c in range(len(cid) // 2))
+            for face in parse_faces(f["program"] or b"")[:1]:
+                if kind == "faces":
+                    yield face | key | {"type0": f["type0"], "own_cid_map": f["cid_gid"] is not None}
+                elif kind == "glyphs":
+                    yield from (key | g for g in letter_glyphs(face))
+                elif kind == "cmap":
+                    yield from (key | {"cp": c} for c in face["cmap"])
+                elif kind == "outlines" and f["type0"]:
+                    yield from (key | {"gid": g, "outline_hash": h} for g in range(face["num_glyphs"]) if (h := face["hash_of"](g)) is not None)
 
 
 def read_table(files: DataFrame, kind: str) -> DataFrame:
-    """One of the tables runs, regions, media, fonts, tounicode of files (doc_id, content); unreadable files have no rows."""
-    schema = {"runs": RUNS, "regions": REGIONS, "media": MEDIA, "fonts": FONTS, "tounicode": TOUNICODE}[kind]
+    """One of the tables runs, regions, media, fonts, tounicode, and of embedded TrueType programs faces, glyphs, cmap, outlines,
+    cid_gid, of files (doc_id, content); unreadable files have no rows."""
+    schema = {"runs": RUNS, "regions": REGIONS, "media": MEDIA, "fonts": FONTS, "tounicode": TOUNICODE, "faces": FACES, "glyphs": GLYPHS, "cmap": CMAP, "outlines": OUTLINES, "cid_gid": CID_GID}[kind]
     fields = [f.split() for f in schema.split(", ")]
 
     def run(batches):
@@ -510,7 +534,7 @@ def read_table(files: DataFrame, kind: str) -> DataFrame:
             for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
                 try:
                     rows += _rows(kind, doc, read_file(blob or b""))
-                except (ValueError, IndexError, RecursionError):
+                except (ValueError, IndexError, RecursionError, struct.error):
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
 

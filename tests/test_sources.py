@@ -1,4 +1,5 @@
 import glob
+import struct
 import zipfile
 import zlib
 
@@ -6,7 +7,7 @@ import pytest
 
 from glyphward import cli
 from glyphward.operators import docx_rules
-from glyphward.sources import docx, fonts, html, pdf
+from glyphward.sources import docx, fonts, html, pdf, registry_json
 
 FONT = next(iter(sorted(glob.glob("/usr/share/fonts/**/*.ttf", recursive=True))), None)
 
@@ -93,3 +94,48 @@ def test_scan_of_all_formats(spark, tmp_path):
     found = {r["rule"] for r in cli.scan(files).collect()}
     assert found >= {"PDF.INVISIBLE_RENDER_MODE", "PDF.CUSTOM_DIFFERENCES", "DOCX.INVISIBLE_TEXT_COLOR", "HTML.HIDDEN_STYLE", "UNICODE.ZERO_WIDTH"}
     assert [r["format"] for r in files.orderBy("path").collect()] == ["pdf", "docx", "html", None]
+
+
+def tiny_font(drawn: dict[str, str]) -> bytes:
+    """A TrueType face whose letters (keys) show the outlines of letters (values)."""
+    names = sorted(set(drawn.values()))
+    points = [struct.pack(">5hHH3B6h", 1, 0, 0, 900, 900, 2, 0, 1, 1, 1, 0, ord(c), 7, 0, 5, ord(c)) + b"\0" for c in names]
+    loca = struct.pack(f">{len(points) + 2}I", 0, *(sum(map(len, points[:k])) for k in range(len(points) + 1)))
+    pairs = b"".join(struct.pack(">III", ord(c), ord(c), 1 + names.index(d)) for c, d in sorted(drawn.items()))
+    cmap = struct.pack(">HHHHI", 0, 1, 3, 10, 12) + struct.pack(">HHIII", 12, 0, 16 + len(pairs), 0, len(drawn)) + pairs
+    name = struct.pack(">9H", 0, 1, 18, 3, 1, 0, 1, 8, 0) + "Tiny".encode("utf-16-be")
+    tables = {b"cmap": cmap, b"glyf": b"".join(points), b"head": bytes(50) + b"\0\1\0\0", b"loca": loca, b"maxp": struct.pack(">IH", 0x10000, len(names) + 1), b"name": name}
+    at, head, body = 12 + 16 * len(tables), b"", b""
+    for tag, t in tables.items():
+        head += struct.pack(">4sIII", tag, 0, at + len(body), len(t))
+        body += t
+    return b"\0\1\0\0" + struct.pack(">4H", len(tables), 0, 0, 0) + head + body
+
+
+def test_scan_finds_forged_fonts(spark, tmp_path):
+    forged, honest = tiny_font({"a": "a", "b": "b", "d": "b"}), tiny_font({"a": "a", "b": "b", "d": "d"})
+    (tmp_path / "in").mkdir()
+    font = b"<</Type/Font/BaseFont/T/FontDescriptor 9 0 R>>"
+    objects = b"8 0 obj " + font + b" endobj\n9 0 obj <</FontFile2 10 0 R>> endobj\n10 0 obj <</Length %d>> stream\n" % len(forged) + forged + b"\nendstream endobj\n"
+    (tmp_path / "in" / "a.pdf").write_bytes(tiny_pdf(b"BT /F2 12 Tf (bad day.) Tj ET", objects))
+    to = b"2 beginbfchar <0002> <0062> <0003> <0064> endbfchar"
+    kid = b"11 0 obj <</Type/Font/DescendantFonts[<</FontDescriptor 9 0 R/CIDToGIDMap 12 0 R>>]/ToUnicode 13 0 R>> endobj\n12 0 obj <</Length 8>> stream\n\0\0\0\1\0\2\0\2\nendstream endobj\n"
+    kid += b"13 0 obj <</Length %d>> stream\n" % len(to) + to + b"\nendstream endobj\n"
+    (tmp_path / "in" / "t.pdf").write_bytes(tiny_pdf(b"", objects.replace(forged, honest).replace(font, b"null") + kid))
+    with zipfile.ZipFile(tmp_path / "in" / "b.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="w"><w:p><w:r><w:t>bad day.</w:t></w:r></w:p></w:document>')
+        z.writestr("word/fonts/f.odttf", forged)
+        z.writestr("word/fonts/g.odttf", b"nothing")
+    (tmp_path / "fonts").mkdir()
+    (tmp_path / "fonts" / "x.ttf").write_bytes(honest)
+    faces, _ = fonts.build_registry(spark, str(tmp_path / "fonts"))
+    registry_json.save(faces, str(tmp_path / "known"))
+    files = cli.load_files(spark, [str(tmp_path / "in")])
+    names = {r["doc_id"]: r["path"].rpartition("/")[2] for r in files.collect()}
+    found, phrases, verdicts = cli.examine(files, registry_json.load(spark, str(tmp_path / "known")))
+    got = {(names[r["doc_id"]], r["rule"], r["sample"]) for r in found.collect()}
+    assert got >= {(f, f"{k}.GLYPH_SEMANTIC_REPLACEMENT", "d→b") for f, k in (("a.pdf", "PDF"), ("t.pdf", "PDF"), ("b.docx", "DOCX"))}
+    assert got >= {(f, f"{k}.CANONICAL_TAMPER_CONFIRMED", None) for f, k in (("a.pdf", "PDF"), ("b.docx", "DOCX"))}
+    assert ("b.docx", "DOCX.FONT_UNREADABLE", None) in got
+    assert {(names[r["doc_id"]], r["verdict"]) for r in verdicts.collect()} == {("a.pdf", "Confirmed"), ("b.docx", "Confirmed"), ("t.pdf", "Unconfirmed")}
+    assert {("b.docx", "bad day.", "bab bay.")} <= {(names[r["doc_id"]], r["extracted"], r["presumed"]) for r in phrases.collect()}
