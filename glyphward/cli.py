@@ -123,6 +123,9 @@ def main(argv: list[str] | None = None) -> int:
     found = found.persist()
     table = report.reports(files.filter("format is not null"), found, phrases, verdicts)
     print(report.as_text(table) if args.format_out == "human" else "\n".join(r["report"] for r in report.as_json(table).toLocalIterator()))
+    errors = pdf.read_errors(files.filter("format = 'pdf'")).unionByName(docx.read_errors(files.filter("format = 'docx'")))
+    for r in errors.join(files.select("doc_id", "path"), "doc_id").toLocalIterator():
+        print(f"not read whole: {r['path']}: {r['error']}", file=sys.stderr)
     return int(gate(found).first()["exit_code"])
 
 

@@ -152,15 +152,82 @@ class Reader:
         return bytes(out)
 
 
-def _inflate(raw: bytes) -> bytes:
-    d = zlib.decompressobj()
-    try:
-        return d.decompress(raw) + d.flush()
-    except zlib.error:
+def _inflate(raw: bytes) -> tuple[bytes, bool]:
+    """What could be inflated up to the first error, and whether that is all."""
+    best = b""
+    for bits, data in ((15, raw), (-15, raw[2:])):
+        d, out = zlib.decompressobj(bits), bytearray()
         try:
-            return zlib.decompressobj(-15).decompress(raw[2:])
+            for i in range(0, len(data), 64):
+                out += d.decompress(data[i : i + 64])
+            return bytes(out + d.flush()), d.eof
         except zlib.error:
-            return b""
+            for k in range(i, min(i + 64, len(data))):  # of the piece with the error, byte by byte
+                try:
+                    if k == i:
+                        d = zlib.decompressobj(bits)
+                        out = bytearray(d.decompress(data[:i]))
+                    out += d.decompress(data[k : k + 1])
+                except zlib.error:
+                    break
+            best = max(best, bytes(out), key=len)
+    return best, False
+
+
+def _ascii85(raw: bytes) -> tuple[bytes, bool]:
+    body, mark, _ = raw.partition(b"~>")
+    out, held = bytearray(), []
+    for c in body.removeprefix(b"<~"):
+        if c == 0x7A and not held:
+            out += bytes(4)
+        elif 33 <= c <= 117:
+            held.append(c - 33)
+            if len(held) == 5:
+                out += (sum(v * 85 ** (4 - k) for k, v in enumerate(held)) & 0xFFFFFFFF).to_bytes(4, "big")
+                held = []
+        elif c not in _WHITE:
+            return bytes(out), False
+    if held:
+        full = held + [84] * (5 - len(held))
+        out += (sum(v * 85 ** (4 - k) for k, v in enumerate(full)) & 0xFFFFFFFF).to_bytes(4, "big")[: len(held) - 1]
+    return bytes(out), bool(mark)
+
+
+def _lzw(raw: bytes, early: int = 1) -> tuple[bytes, bool]:
+    table = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, before, width, held, n = bytearray(), b"", 9, 0, 0
+    for byte in raw:
+        held, n = held << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == 257:
+            return bytes(out), True
+        if code == 256:
+            del table[258:]
+            before, width = b"", 9
+            continue
+        if code > len(table) or (code == len(table) and not before):
+            return bytes(out), False
+        now = table[code] if code < len(table) else before + before[:1]
+        out += now
+        if before and len(table) < 4096:
+            table.append(before + now[:1])
+        before = now
+        width = min(12, max(9, (len(table) + early).bit_length()))
+    return bytes(out), False
+
+
+def _run_length(raw: bytes) -> tuple[bytes, bool]:
+    out, i = bytearray(), 0
+    while i < len(raw):
+        n = raw[i]
+        if n == 128:
+            return bytes(out), True
+        out += raw[i + 1 : i + 2 + n] if n < 128 else raw[i + 1 : i + 2] * (257 - n)
+        i += 2 + n if n < 128 else 2
+    return bytes(out), False
 
 
 class File:
@@ -171,6 +238,7 @@ class File:
         self.version = m.group(1).decode() if m else None
         self.objects: dict[int, object] = {}
         self.info: object = None
+        self.errors: list[str] = []
         for m in _HEADER.finditer(data):
             r = Reader(data, m.end())
             value = r.value()
@@ -221,14 +289,26 @@ class File:
     def decoded(self, s: Stream) -> bytes:
         filters = self.get(s.dict.get("Filter")) or []
         raw = s.raw
-        for f in filters if isinstance(filters, list) else [filters]:
+        for k, f in enumerate(filters if isinstance(filters, list) else [filters]):
             f = self.get(f)
+            whole = True
             if f in ("FlateDecode", "Fl"):
-                raw = _inflate(raw)
+                raw, whole = _inflate(raw)
+            elif f in ("ASCII85Decode", "A85"):
+                raw, whole = _ascii85(raw)
+            elif f in ("LZWDecode", "LZW"):
+                parms = self.get(s.dict.get("DecodeParms"))
+                early = self.at(parms[k] if isinstance(parms, list) and k < len(parms) else parms, "EarlyChange")
+                raw, whole = _lzw(raw, 0 if early == 0 else 1)
+            elif f in ("RunLengthDecode", "RL"):
+                raw, whole = _run_length(raw)
             elif f in ("ASCIIHexDecode", "AHx"):
                 raw = bytes.fromhex(re.sub(rb"[^0-9A-Fa-f]", b"", raw.split(b">")[0]).decode())
             else:
+                self.errors.append(f"filter {f} is not decoded")
                 return b""
+            if not whole:
+                self.errors.append(f"{f} data end early or are damaged")
         return raw
 
     # -- fonts
@@ -469,7 +549,7 @@ def read_file(data: bytes) -> dict:
         names = f.at(page, "Resources", "Font") or {}
         fonts = {k: by_number[v.number] for k, v in names.items() if isinstance(v, Ref) and v.number in by_number}
         pages.append(paint(body, fonts, media))
-    return {"fonts": list(by_number.values()), "pages": pages, "metadata": f.metadata()}
+    return {"fonts": list(by_number.values()), "pages": pages, "metadata": f.metadata(), "errors": list(dict.fromkeys(f.errors))}
 
 
 RUNS = "doc_id long, page int, op_ord int, nbytes long, text string, fill array<double>, render_mode int, eff_size double, cx double, cy double"
@@ -539,3 +619,21 @@ def read_table(files: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
 
     return files.select("doc_id", "content").mapInArrow(run, schema)
+
+
+def read_errors(files: DataFrame) -> DataFrame:
+    """doc_id, error of files that can't be read, and of files with streams that can't be decoded to their end."""
+
+    def run(batches):
+        for batch in batches:
+            docs, errors = [], []
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    found = read_file(blob or b"")["errors"]
+                except (ValueError, IndexError, RecursionError, struct.error) as e:
+                    found = [f"{type(e).__name__}: {e}"]
+                docs += [doc] * len(found)
+                errors += found
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(errors, pa.string())], names=["doc_id", "error"])
+
+    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, error string")

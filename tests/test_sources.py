@@ -139,3 +139,27 @@ def test_scan_finds_forged_fonts(spark, tmp_path):
     assert ("b.docx", "DOCX.FONT_UNREADABLE", None) in got
     assert {(names[r["doc_id"]], r["verdict"]) for r in verdicts.collect()} == {("a.pdf", "Confirmed"), ("b.docx", "Confirmed"), ("t.pdf", "Unconfirmed")}
     assert {("b.docx", "bad day.", "bab bay.")} <= {(names[r["doc_id"]], r["extracted"], r["presumed"]) for r in phrases.collect()}
+
+
+def test_pdf_filters_and_errors(spark):
+    import base64
+
+    def page(filters: bytes, raw: bytes) -> bytes:
+        whole = tiny_pdf(CONTENT)
+        old = zlib.compress(CONTENT)
+        return whole.replace(b"<</Length %d/Filter/FlateDecode>> stream\n" % len(old) + old, b"<</Length %d/Filter%s>> stream\n" % (len(raw), filters) + raw, 1)
+
+    lzw, n = 0, 0
+    for c in [256, *CONTENT[:100], 256, *CONTENT[100:], 257]:
+        lzw, n = lzw << 9 | c, n + 9
+    packed = (lzw << -n % 8).to_bytes((n + 7) // 8, "big")
+    runs = b"".join(bytes([0, c]) for c in CONTENT) + b"\x80"
+    for filters, raw in ((b"/ASCII85Decode", base64.a85encode(CONTENT) + b"~>"), (b"/LZWDecode", packed), (b"[/A85/Fl]", base64.a85encode(zlib.compress(CONTENT)) + b"~>"), (b"/RunLengthDecode", runs)):
+        got = pdf.read_file(page(filters, raw))
+        assert [r["text"] for r in got["pages"][0].runs] == ["Ba", "hidden"] and got["errors"] == [], filters
+    assert pdf._lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == (bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66]), True)
+    cut = page(b"/FlateDecode", zlib.compress(CONTENT + b" %" + bytes(range(256)) * 9)[:-40])
+    got = pdf.read_file(cut)
+    assert [r["text"] for r in got["pages"][0].runs] == ["Ba", "hidden"] and got["errors"]
+    files = spark.createDataFrame([(1, tiny_pdf(CONTENT)), (2, cut), (3, b"nothing"), (4, page(b"/Crypt", b"x"))], "doc_id long, content binary")
+    assert {r["doc_id"] for r in pdf.read_errors(files).collect()} == {2, 3, 4}
