@@ -11,14 +11,14 @@ def _links(pairs: DataFrame) -> DataFrame:
     return pairs.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node it is linked with) for every node of a non-trivial edge.
 
     A hub with many links is never gathered: minima are aggregates, and links meet them in a join that AQE may split.
     """
     now = stage_table(_links(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))), "links")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = _links(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -32,8 +32,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if sign == seen:
             break
         seen = sign
-    else:
-        raise RuntimeError("components did not settle")
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

@@ -1,20 +1,30 @@
-"""Operator 4: all pairs of documents whose n-gram sets have Jaccard similarity of at least THETA, exactly.
+"""Operator 4: documents whose n-gram sets have Jaccard similarity of at least THETA, exactly.
+
+Texts of one word sequence are one node, so copies are never compared with each other.
 
 Sets with J(r, s) >= THETA and sizes |s| <= |r| differ in at most H = floor((1 - THETA) / (1 + THETA) * (|r| + |s|))
 n-grams.  Sizes fall in bands; each band divides the universe of n-grams into m segments by hash, of which the first d
 also count as equal when one n-gram is missing on either side (one-deletion neighbourhoods).  If the segments that a set
-indexes allow for H differences plus one, every partner agrees with it on one of them.  A set is indexed under its own
-band, and under the band below when partners can lie there.
+indexes weigh more than H, every partner agrees with it on one of them, and on as much weight as is left over.  A set is
+indexed under its own band, and under the band below when partners can lie there.
 
 Which segments are indexed is decided by cost.  A segment's content is indexed only if it is rare enough (the n-grams'
-information, from word frequencies of the whole corpus, must exceed log2 of the number of documents), so that strangers
-seldom meet; m and d of each band are those with the fewest index entries that still leave room for the segments passed
-over.  The decision is a function of band and content, hence the same for both partners.  Sets for which too little
-remains are indexed a second time, among themselves, with nothing passed over.  An index entry that more than HOT sets
-share is passed over too, and counted as a loss of each; sets whose room that exceeds are joined on these entries among
-themselves.  None of this drops a pair: frequencies steer cost only.
-
-Agreements are edges; each connected component of them is verified exactly, from the texts.
+information, from word frequencies of the whole corpus, must reach log2 of the number of documents, less a constant), and
+n-grams that tell too little take no part.  m, d and what takes part are those of the fewest index entries.  The decision is
+a function of band and content, hence the same for both partners.
+
+The finest division of the universe makes every n-gram a segment.  Then only the n-grams that a set itself has and its
+partner lacks count, at most (1 - THETA) of them, so it lists that many of its rarest ones and a share of SPARE more, on
+which partners must agree.  Sets for which the segments leave too little room are indexed there; a band for which that is
+the cheaper way for all its sets has no segments (m = 0).  At THETA = 0.6 that is so wherever single n-grams are rare, since
+H is two thirds of a set; segments pay at higher thresholds, or in corpora so large that single n-grams are common.
+
+An entry that more than HOT sets share is passed over, and counted as a loss of each.  Sets that lose more than their room
+are joined on such entries among themselves, up to CROWD sets an entry; those that lose too many of even larger ones are
+tied to one set of each.  None of this drops a pair: frequencies steer cost only.
+
+Pairs that agree on less weight than they must are dropped.  The others are edges; each connected component of them is
+verified exactly, from the texts.
 """
 
 from __future__ import annotations
@@ -24,9 +34,9 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, slices, stage_table, string_buffers, text_bytes, unpack_sorted, unplanes
+from .common import U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, powers, slices, stage_table, string_buffers, text_bytes, unpack_sorted, unplanes
 from .components import components
 
 #: Below the near copies that the tables hold: a replaced word costs two bigrams, so with a share f replaced the similarity
@@ -35,15 +45,25 @@ THETA = 0.6
 N = 2
 #: An index entry of more sets than this is passed over (see above).
 HOT = 24
-#: N-grams of the sets that one block of a component holds.
+#: Words of the texts that one block of a component holds.
 BLOCK = 1_000_000
+#: Of sets that lose too many such entries, entries of up to so many are joined (see above).
+CROWD = 128
+#: Bytes of text that one call verifies, on average.
+BIN_BYTES = 4 << 20
+#: Bytes of text whose index entries one bucket holds.
+BUCKET_BYTES = 16 << 20
+#: The space of sets that are indexed by single n-grams.
+FINEST = -1
 _STEP = 1 << 20
-_RARE = 12  # bits at most that a word counts
+_RARE = 16  # bits at most that a word counts
 _COMMON = 1.0 / (1 << _RARE)
+_SPARE = 0.15  # share of n-grams that sets list more than one of which must agree, in the finest space
+_STRANGERS = 3  # log2 of the strangers that an entry may be expected to meet
 
 
-def ngram_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of texts, ordered by text: (hashes, offsets, first word's hash, last word's hash).
+def ngram_sets(texts, n: int) -> tuple[np.ndarray, ...]:
+    """Distinct n-grams of texts, ordered by text: (hashes, offsets, first word's hash, last word's hash), and the texts' keys.
 
     A text of 1..n-1 words has one n-gram, all of it."""
     data, offsets = string_buffers(texts)
@@ -60,20 +80,20 @@ def ngram_sets(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     keep = np.ones(len(g), bool)
     keep[1:] = (g[1:] != g[:-1]) | (rows[1:] != rows[:-1])
     order = order[keep]
-    return g[keep], np.searchsorted(rows[keep], np.arange(len(offsets))), first[order], last[order]
+    return g[keep], np.searchsorted(rows[keep], np.arange(len(offsets))), first[order], last[order], text_keys(h, tok)
 
 
 # ---------------------------------------------------------------- cost model
 
 
 def word_bits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(hashes, bits) of all words with a share of at least 2**-12 of the corpus, at most 4096 of them, and the number of
+    """(hashes, bits) of all words with a share of at least 2**-16 of the corpus, at most 65,536 of them, and the number of
     texts.  Each part of a few MB reports words with half that share in it; only cost depends on the result."""
 
     def run(batches):
         for batch in batches:
             data, offsets = string_buffers(batch.column("text"))
-            for i, j in slices(offsets, _STEP):
+            for i, j in slices(offsets, 4 * _STEP):
                 h, _, _, _ = hash_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], "word")
                 u, n = np.unique(h, return_counts=True)
                 keep = n >= len(h) * _COMMON / 2
@@ -83,96 +103,114 @@ def word_bits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 )
 
     found = docs.select("text").mapInArrow(run, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = stage_table(found, "words")
     total = found.filter("h = 0").first()
     if total is None or not total["n"]:
         return np.zeros(0, U64), np.zeros(0), int(total["docs"]) if total else 0
-    rows = found.filter((F.col("h") != 0) & (F.col("n") >= int(math.ceil(total["n"] * _COMMON)))).select("h", "n").collect()
-    h = np.array([r["h"] for r in rows], np.int64).view(U64)
-    b = -np.log2(np.array([r["n"] for r in rows], float) / total["n"])
+    table = found.filter((F.col("h") != 0) & (F.col("n") >= int(math.ceil(total["n"] * _COMMON)))).select("h", "n").toArrow()
+    h = table.column("h").to_numpy().view(U64)
+    b = -np.log2(table.column("n").to_numpy() / total["n"])
+    drop_staged(found)
     order = np.argsort(h)
-    return h[order], b[order], int(total["docs"])
+    return h[order], np.round(b[order] * 1024) / 1024, int(total["docs"])
 
 
 class Plan:
-    """Bands, and each band's m and d."""
+    """Bands of sizes, and for each: the bits that an n-gram needs to take part, the segments m, and the deep ones d.
+    Without segments (m = 0) a band's sets are indexed in the finest space only."""
 
-    def __init__(self, words: np.ndarray, bits: np.ndarray, n_docs: int, theta: float, max_size: int = 1 << 24):
+    def __init__(self, words: np.ndarray, bits: np.ndarray, n_docs: int, theta: float):
         self.theta, self.words, self.bits = theta, words, bits
-        self.need_bits = math.log2(max(2, n_docs)) + 4
+        self.need_bits = max(1.0, math.log2(max(2, n_docs)) - _STRANGERS)
         p = np.exp2(-bits)
         rest = max(0.0, 1 - p.sum())
         share, value = np.append(p, rest), np.append(bits, float(_RARE))
         rng = np.random.default_rng(7)
-        drawn = rng.choice(len(share), (2, 200_000), p=share / share.sum())
+        drawn = rng.choice(len(share), (2, 100_000), p=share / share.sum())
         self.sample = value[drawn[0]] + value[drawn[1]]
-        self.his: list[int] = []
-        hi = 0
-        while hi < max_size:
-            hi = max(hi + 1, int(hi / theta**2))
-            self.his.append(hi)
-        self._made: dict[int, tuple[int, int]] = {}
+        self.his = [1]
+        self._made: dict[int, tuple[float, int, int]] = {}
+
+    def reach(self, size: int) -> None:
+        """Bands go on without an end; so far that they cover sets of this size."""
+        while self.his[-1] < size:
+            self.his.append(max(self.his[-1] + 1, int(self.his[-1] / self.theta**2)))
 
     def differences(self, size: int) -> int:
         """H for a set's partners that are no smaller, or in its own band."""
         return int((1 - self.theta) / self.theta * size + 1e-9)
 
-    def scheme(self, band: int) -> tuple[int, int]:
+    def scheme(self, band: int) -> tuple[float, int, int]:
         if band not in self._made:
+            while len(self.his) <= band:
+                self.reach(self.his[-1] + 1)
             self._made[band] = self._choose(band)
         return self._made[band]
 
-    def _choose(self, band: int) -> tuple[int, int]:
+    def price(self, band: int) -> float:
+        """Bits that an n-gram is worth less in a band, since a set there has so many that could be it."""
+        lo = self.his[band - 1] + 1 if band else 1
+        return 0.5 * math.log2(lo * self.his[band])
+
+    def _choose(self, band: int) -> tuple[float, int, int]:
         hi = self.his[band]
         lo = self.his[band - 1] + 1 if band else 1
-        best = None
-        top = self.differences(hi) + 1
-        options = sorted({max(1, min(top, round(hi / x))) for x in (2.5, 3, 3.5, 4, 4.5, 5, 6, 7, 8, 10, 12, 16, 24)} | ({1, 2, 3} if hi < 40 else set()))
-        for m in options:
-            at = {}
-            for size in {lo, hi}:
-                rng = np.random.default_rng(11)
-                n = rng.poisson(size / m, 3000) if m > 1 else np.full(50, size)
-                b = np.maximum(self.sample[: n.sum()] if n.sum() <= len(self.sample) else rng.choice(self.sample, n.sum()), 0)
-                b = np.maximum(b - math.log2(m), 0)
-                seg = np.repeat(np.arange(len(n)), n)
-                total = np.bincount(seg, b, len(n))
-                most = np.zeros(len(n))
-                np.maximum.at(most, seg, b)
-                one, two = total >= self.need_bits, total - most >= self.need_bits
-                left = np.bincount(seg, (total[seg] - b) >= self.need_bits, len(n))
-                at[size] = one, two, left
-            for d in sorted({round(m * x / 10) for x in range(11)}):
-                if m + d < top:
-                    continue
-                cost = 0.0
-                for size, (one, two, left) in at.items():
-                    need = self.differences(size) + 1
-                    mean = m * one.mean() + d * two.mean()
-                    sd = math.sqrt((m - d) * one.var() + d * (one.astype(int) + two).var() + 1e-9)
-                    short = 0.5 * math.erfc((mean + 0.5 - need) / sd / math.sqrt(2))
-                    cost += m * one.mean() + d * left.mean() + short * (m + d * size / m + 60)
-                if best is None or cost < best[0]:
-                    best = cost, m, d
-        return best[1], best[2]
+        worth, need = self.sample - self.price(band), self.need_bits
+        fine = {size: int((1 - self.theta + _SPARE) * size) + 2 for size in (lo, hi)}
+        best = float(sum(fine[size] for size in {lo, hi})), 0.0, 0, 0
+        for cut in (-1e9, need / 4, need / 3, need / 2, need):
+            pool = worth[worth >= cut]
+            part = len(pool) / len(worth)
+            if not len(pool):
+                continue
+            for m in sorted({max(1, round(part * hi / x)) for x in (0.5, 0.75, 1, 1.5, 2, 2.5, 3, 4, 5, 6, 8)}):
+                at = {}
+                for size in {lo, hi}:
+                    rng = np.random.default_rng(11)
+                    n = rng.poisson(part * size / m, 2000) if m > 1 else rng.binomial(size, part, 50)
+                    b = pool[rng.integers(0, len(pool), n.sum())]
+                    seg = np.repeat(np.arange(len(n)), n)
+                    total = np.bincount(seg, b, len(n))
+                    most = np.zeros(len(n))
+                    np.maximum.at(most, seg, b)
+                    one = (n > 0) & (total >= need)
+                    two = (n > 1) & (total - most >= need)
+                    at[size] = one, two, n
+                for d in sorted({round(m * x / 4) for x in range(5)}):
+                    cost = 0.0
+                    for size, (one, two, n) in at.items():
+                        mean = m * one.mean() + d * two.mean()
+                        sd = math.sqrt((m - d) * one.var() + d * (one.astype(int) + two).var() + 1e-9)
+                        short = 0.5 * math.erfc((mean - self.differences(size) - _SPARE * size - 0.5) / sd / math.sqrt(2))
+                        cost += m * one.mean() + d * (two * n).mean() + short * fine[size]
+                    if cost < best[0]:
+                        best = cost, cut, m, d
+        return best[1:]
 
 
 def _entries(plan: Plan, g, offsets, first, last):
-    """Index entries of sets: (signature, owner, weight); owners: (set, mode, room)."""
+    """Index entries of sets: (signature, owner, kind), and the owners: (set, space, weight, room).
+
+    Kinds: 0, a segment's content without one n-gram; 1, content of weight 1; 2 + t, content of t n-grams, of weight 2.
+    A space is a band, or ``FINEST``: every n-gram is a segment by itself.
+    """
     sizes = np.diff(offsets)
+    if not len(g):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U64), none, np.zeros(0, np.uint8), (none, none, none, none)
+    plan.reach(int(sizes.max()))
     his = np.array(plan.his)
     band = np.searchsorted(his, sizes)
     live = np.flatnonzero(sizes > 0)
     below = live[(band[live] > 0) & (np.ceil(plan.theta * sizes[live] - 1e-9) <= his[np.maximum(band[live] - 1, 0)])]
     own_set = np.concatenate([live, below])
     own_band = np.concatenate([band[live], band[below] - 1])
-    if not len(own_set):
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8), (own_set, own_band, own_band)
     k = sizes[own_set]
     share = (1 - plan.theta) / (1 + plan.theta)
     need = np.where(own_band == band[own_set], (1 - plan.theta) / plan.theta * k, share * (k + np.minimum(his[own_band], k)))
     need = np.floor(need + 1e-9).astype(np.int64) + 1
-    md = np.array([plan.scheme(int(b)) for b in range(int(own_band.max()) + 1)])
-    m, d = md[own_band, 0], md[own_band, 1]
+    schemes = np.array([plan.scheme(b) + (plan.price(b),) for b in range(int(own_band.max()) + 1)])
+    cut, m, d, price = schemes[own_band, 0], schemes[own_band, 1].astype(np.int64), schemes[own_band, 2].astype(np.int64), schemes[own_band, 3]
 
     def bits_of(w):
         if not len(plan.words):
@@ -182,145 +220,240 @@ def _entries(plan: Plan, g, offsets, first, last):
 
     info = bits_of(first) + bits_of(last)
     owner = np.repeat(np.arange(len(own_set)), k)
-    at = np.repeat(offsets[own_set], k) + np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
-    x, b = mix(g)[at], np.maximum(info[at] - np.log2(m)[owner], 0)
+    at = np.repeat(offsets[own_set] - (np.cumsum(k) - k), k) + np.arange(len(owner))
+    b = info[at] - price[owner]
+    takes = np.flatnonzero((b >= cut[owner]) & (m[owner] > 0))
+    owner, at, b = owner[takes], at[takes], b[takes]
     seg = ((g[at] >> U64(32)) * m[owner].astype(U64) >> U64(32)).astype(np.int64)
-    key = owner * (1 << 24) + seg
+    key = (owner << 32) + seg
     order = np.argsort(key, kind="stable")
-    key, x, b, owner, seg = key[order], x[order], b[order], owner[order], seg[order]
-    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    total, most, sums = np.add.reduceat(b, heads), np.maximum.reduceat(b, heads), np.add.reduceat(x, heads)
-    ho, hs = owner[heads], seg[heads]
-    # sums of floats may depend on order; contents are compared in whole 1/1024 bits
-    total, most = np.round(total * 1024) / 1024, np.round(most * 1024) / 1024
-    salt = mix((own_band[ho] * (1 << 24) + hs).astype(U64) + U64(1))
-    deep = hs < d[ho]
-    near = plan.need_bits
-    one = total >= near
-    worth = one.astype(np.int64) * (1 + (deep & (total - most >= near)))
-    room = np.bincount(ho, worth, len(own_set)).astype(np.int64) - need
-    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
-    drop = deep[group]
-    cut = drop & (np.round((total[group] - b) * 1024) / 1024 >= near)
-    out = [
-        (mix(sums[one] + salt[one]), ho[one], 1 + deep[one].astype(np.uint8)),
-        (mix(sums[group[cut]] - x[cut] + salt[group[cut]]), owner[cut], np.full(int(cut.sum()), 2, np.uint8)),
-    ]
-    short = np.flatnonzero(room < 0)
-    owners_set, owners_mode = own_set, own_band * 2
-    owners_room = np.where(room < 0, -1, np.minimum(room, 30_000))
-    if len(short):  # indexed again in full, among such sets
-        number = np.full(len(own_set), -1)
-        number[short] = len(own_set) + np.arange(len(short))
-        full = number[ho] >= 0
-        wide = mix(salt + U64(0x51ED270B))
-        out.append((mix(sums[full] + wide[full]), number[ho[full]], 1 + deep[full].astype(np.uint8)))
-        every = drop & (number[owner] >= 0)
-        out.append((mix(sums[group[every]] - x[every] + wide[group[every]]), number[owner[every]], np.full(int(every.sum()), 2, np.uint8)))
-        blank_owner = np.repeat(short, m[short])
-        blank_seg = np.arange(len(blank_owner)) - np.repeat(np.cumsum(m[short]) - m[short], m[short])
-        taken = np.isin(blank_owner * (1 << 24) + blank_seg, key[heads])
-        bo, bs = blank_owner[~taken], blank_seg[~taken]
-        bw = mix(mix((own_band[bo] * (1 << 24) + bs).astype(U64) + U64(1)) + U64(0x51ED270B))
-        out.append((mix(bw), number[bo], 1 + (bs < d[bo]).astype(np.uint8)))
-        owners_set = np.concatenate([own_set, own_set[short]])
-        owners_mode = np.concatenate([owners_mode, own_band[short] * 2 + 1])
-        owners_room = np.concatenate([owners_room, (m + d - need)[short]])
-    sig, own, weight = (np.concatenate([o[i] for o in out]) for i in range(3))
-    return sig, own, weight, (owners_set, owners_mode, owners_room)
+    key, at, b, owner = key[order], at[order], b[order], owner[order]
+    x = mix(g)[at]
+    out = []
+    weight = np.zeros(len(own_set), np.int64)
+    if len(key):
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        t = np.diff(np.append(heads, len(key)))
+        # sums of floats may depend on order; contents are compared in whole 1/1024 bits
+        total = np.round(np.add.reduceat(b, heads) * 1024) / 1024
+        most = np.maximum.reduceat(b, heads)
+        sums = np.add.reduceat(x, heads)
+        ho, hs = owner[heads], key[heads] & 0xFFFFFFFF
+        salt = mix((own_band[ho] * (1 << 32) + hs).astype(U64) + U64(1))
+        near = plan.need_bits
+        one = total >= near
+        two = one & (hs < d[ho]) & (t > 1) & (np.round((total - most) * 1024) / 1024 >= near)
+        weight = np.bincount(ho, one.astype(np.int64) + two, len(own_set)).astype(np.int64)
+        out.append((mix(sums[one] + salt[one]), ho[one], np.where(two, 2 + np.minimum(t, 200), 1)[one].astype(np.uint8)))
+        # what is left without one n-gram is listed wherever it is rare enough by itself, as content would be
+        group = np.repeat(np.arange(len(heads)), t)
+        rest = np.flatnonzero((hs < d[ho])[group] & (t > 1)[group] & (np.round((total[group] - b) * 1024) / 1024 >= near))
+        out.append((mix(sums[group[rest]] - x[rest] + salt[group[rest]]), owner[rest], np.zeros(len(rest), np.uint8)))
+    short = weight < need + np.floor(_SPARE * k).astype(np.int64)
+    room = np.where(short, -1, np.minimum(weight - need, 1 << 24))
+    owners = [own_set, own_band, weight, room]
+    few = np.unique(own_set[short])
+    if len(few):  # indexed again by their rarest n-grams, among such sets
+        n = sizes[few]
+        which = np.repeat(np.arange(len(few)), n)
+        at = np.repeat(offsets[few] - (np.cumsum(n) - n), n) + np.arange(len(which))
+        order = np.lexsort((g[at], -info[at], which))
+        which, at = which[order], at[order]
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        agree = 1 + np.floor(_SPARE * n + 1e-9).astype(np.int64)
+        head = place < (np.floor((1 - plan.theta) * n + 1e-9).astype(np.int64) + agree)[which]
+        out.append((mix(g[at[head]] + U64(0x51ED270B)), len(own_set) + which[head], np.ones(int(head.sum()), np.uint8)))
+        least = np.ceil(plan.theta * n - 1e-9)  # of a partner, which lists so many more
+        more = (few, np.full(len(few), FINEST), agree, np.floor(_SPARE * least + 1e-9).astype(np.int64))
+        owners = [np.concatenate(z) for z in zip(owners, more)]
+    sig, own, kind = (np.concatenate([o[i] for o in out]) for i in range(3))
+    return sig, own, kind, tuple(owners)
+
+
+def text_keys(h: np.ndarray, tok: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text's word sequence: texts of one key are one node."""
+    sums = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * powers(len(h)), out=sums[1:])
+    shift = powers(len(h) + 1, inverse=True)[tok[:-1]]
+    return mix((sums[tok[1:]] - sums[tok[:-1]]) * shift + np.diff(tok).astype(U64)).view(np.int64)
+
+
+_BLOB = ["sigs", "owner", "kind", "nodes", "spaces", "sizes", "weights", "rooms"]
 
 
 def _index(plan: Plan, n: int, n_buckets: int):
-    names = ["bucket", "sigs", "owner", "weight", "nodes", "modes", "rooms"]
-
     def run(batches):
+        seen: set[int] = set()  # of equal sets, a task sends one
         for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
             _, offsets = string_buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
             for i, j in slices(offsets, _STEP):
-                g, off, first, last = ngram_sets(batch.column("text").slice(i, j - i), n)
-                sig, own, weight, (o_set, o_mode, o_room) = _entries(plan, g, off, first, last)
+                g, off, first, last, names = ngram_sets(batch.column("text").slice(i, j - i), n)
+                fresh = np.zeros(j - i, bool)
+                fresh[np.unique(names, return_index=True)[1]] = True
+                fresh &= (np.diff(off) > 0) & np.array([x not in seen for x in names.tolist()], bool)
+                seen.update(names[fresh].tolist())
+                sizes = np.where(fresh, np.diff(off), 0)
+                keep = np.repeat(fresh, np.diff(off))
+                off = np.concatenate([[0], np.cumsum(sizes)])
+                sig, own, kind, (o_set, *o_rest) = _entries(plan, g[keep], off, first[keep], last[keep])
                 order = np.argsort(sig, kind="stable")
-                sig, own, weight = sig[order], own[order], weight[order]
+                sig, own, kind = sig[order], own[order], kind[order]
                 cuts = bucket_cuts(sig, n_buckets)
-                rows = {k: [] for k in names}
+                rows = {k: [] for k in ["bucket", *_BLOB]}
                 for b in np.flatnonzero(np.diff(cuts)):
                     p, q = cuts[b], cuts[b + 1]
                     used, back = np.unique(own[p:q], return_inverse=True)
-                    blob = (pack_sorted(sig[p:q]), planes(back.astype(np.uint32)), weight[p:q].tobytes())
-                    blob += (planes(ids[i + o_set[used]]), planes(o_mode[used].astype(np.int32)), planes(o_room[used].astype(np.int32)))
-                    for name, v in zip(names, (int(b), *blob)):
+                    of = (names[o_set[used]], *(v[used].astype(np.int32) for v in (o_rest[0], sizes[o_set], o_rest[1], o_rest[2])))
+                    blob = (pack_sorted(sig[p:q]), planes(back.astype(np.uint32)), kind[p:q].tobytes(), *map(planes, of))
+                    for name, v in zip(rows, (int(b), *blob)):
                         rows[name].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32())] + [pa.array(rows[k], pa.binary()) for k in names[1:]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32())] + [pa.array(rows[k], pa.binary()) for k in _BLOB], names=list(rows))
 
     return run
 
 
-def _meet(hot: int):
+def _meet(hot: int, theta: float):
+    """Of a bucket: pairs of sets with the weight on which they agree there, and the entries of more than ``hot`` sets."""
+    share = (1 - theta) / (1 + theta)
+
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
+        cols = {c: table.column(c).to_pylist() for c in _BLOB}
         sig = np.concatenate([unpack_sorted(b) for b in cols["sigs"]])
-        weight = np.concatenate([np.frombuffer(b, np.uint8) for b in cols["weight"]])
-        node, mode, room = [], [], []
-        for o, a, b, c in zip(cols["owner"], cols["nodes"], cols["modes"], cols["rooms"]):
-            back = unplanes(o, np.uint32)
-            node.append(unplanes(a, np.int64)[back])
-            mode.append(unplanes(b, np.int32)[back])
-            room.append(unplanes(c, np.int32)[back])
-        node, mode, room = np.concatenate(node), np.concatenate(mode), np.concatenate(room)
-        order = np.lexsort((node, sig))
-        sig, weight, node, mode, room = sig[order], weight[order], node[order], mode[order], room[order]
-        new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        fresh = new | np.concatenate([[True], node[1:] != node[:-1]])
+        kind = np.concatenate([np.frombuffer(b, np.uint8) for b in cols["kind"]])
+        base, own, of = 0, [], {k: [] for k in _BLOB[3:]}
+        for i, o in enumerate(cols["owner"]):
+            own.append(unplanes(o, np.uint32).astype(np.int64) + base)
+            for k, v in of.items():
+                v.append(unplanes(cols[k][i], np.int64 if k == "nodes" else np.int32))
+            base += len(of["nodes"][-1])
+        own = np.concatenate(own)
+        node, space, size, weight, room = (np.concatenate(v) for v in of.values())
+        order = np.argsort(sig, kind="stable")
+        sig, kind, own = sig[order], kind[order], own[order]
+        # entries of one set alone need no look
+        twin = sig[1:] == sig[:-1]
+        keep = np.concatenate([[False], twin]) | np.concatenate([twin, [False]])
+        sig, kind, own = sig[keep], kind[keep], own[keep]
+        order = np.lexsort((node[own], sig))
+        sig, kind, own = sig[order], kind[order], own[order]
+        who = node[own]
+        once = np.ones(len(sig), bool)  # an equal set that another task sent
+        once[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
+        sig, kind, own, who = sig[once], kind[once], own[once], who[once]
+        new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
-        many = np.bincount(group, fresh)[group]
-        least = node[np.flatnonzero(new)][group]
-        edge = fresh & (many >= 2) & (many <= hot) & (node != least)
-        pairs = np.unique(np.stack([least[edge], node[edge], mode[edge] >> 1], axis=1), axis=0)
+        many = np.bincount(group)[group] if len(sig) else np.zeros(0, np.int64)
         is_hot = many > hot
-        k, h = len(pairs), int(is_hot.sum())
-        zero = np.zeros(k, np.int32)
+        value = np.where(kind < 2, 1, 4 - kind.astype(np.int64))
+        held = [np.zeros(0, np.int64)] * 4
+        parts: list[tuple] = []
+
+        def settle():
+            a, b, s, v = (np.concatenate([x[c] for x in parts]) for c in range(4))
+            order = np.lexsort((s, node[b], node[a]))
+            a, b, s, v = a[order], b[order], s[order], v[order]
+            first = np.ones(len(a), bool)
+            first[1:] = (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1]) | (s[1:] != s[:-1])
+            first = np.flatnonzero(first)
+            return [a[first], b[first], s[first], np.add.reduceat(v, first) if len(first) else v]
+
+        cold = np.flatnonzero(~is_hot & (many > 1))
+        for start in range(0, len(cold), 1 << 18):
+            own_part = cold[start : start + (1 << 18)]
+            for lag in range(1, hot):
+                i = own_part[own_part + lag < len(sig)]
+                i = i[group[i + lag] == group[i]]
+                own_part = i
+                if not len(i):
+                    break
+                a, b = own[i], own[i + lag]
+                fits = np.minimum(size[a], size[b]) >= theta * np.maximum(size[a], size[b]) - 1e-9
+                i, a, b = i[fits], a[fits], b[fits]
+                same = (kind[i] > 0) & (kind[i + lag] > 0)
+                parts.append((a, b, space[a].astype(np.int64), np.where(same, value[i], 1)))
+            if sum(len(x[0]) for x in parts) > 1 << 20:
+                parts = [tuple(settle())]
+        a, b, s, agreed = settle() if parts else held
+        most = np.floor(share * (size[a].astype(np.int64) + size[b]) + 1e-9).astype(np.int64)
+        fine = s == FINEST
+        floor_a, floor_b = (np.where(fine, np.minimum(weight[a], weight[b]), weight[z] - most) for z in (a, b))
+        k, h = len(a), int(is_hot.sum())
+        o = own[is_hot]
+        both = lambda x, y, t: pa.array(np.concatenate([x, y]).astype(t))
         return pa.table(
             {
                 "hot": pa.array(np.concatenate([np.zeros(k, bool), np.ones(h, bool)])),
-                "a": pa.array(np.concatenate([pairs[:, 0], sig[is_hot].view(np.int64)])),
-                "b": pa.array(np.concatenate([pairs[:, 1], node[is_hot]])),
-                "mode": pa.array(np.concatenate([pairs[:, 2].astype(np.int32) * 2, mode[is_hot]])),
-                "weight": pa.array(np.concatenate([zero, weight[is_hot].astype(np.int32)])),
-                "room": pa.array(np.concatenate([zero, room[is_hot]])),
+                "a": both(node[a], sig[is_hot].view(np.int64), np.int64),
+                "b": both(node[b], node[o], np.int64),
+                "space": both(s, space[o], np.int32),
+                "agreed": both(agreed, size[o], np.int32),
+                "floor_a": both(floor_a, weight[o], np.int32),
+                "floor_b": both(floor_b, room[o], np.int32),
             }
         )
 
     return run
 
 
-def candidate_components(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT) -> DataFrame:
-    """node (doc_id), component, grams (about its n-grams): every pair of at least theta lies in one component.
+def _crowded(met: DataFrame, theta: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What becomes of the entries of more than HOT sets: (pairs that meet on them, losses of each set, star links).
 
-    Entries of different bands never meet, so a document takes part in each of its (one or two) bands by itself, and
-    components don't grow together across bands.
+    Only sets whose loss exceeds their room need them.  Among these, lists of up to ``most`` are joined, so only longer ones
+    are lost; sets whose room even that exceeds are tied to the least set of each list, as long as the list is.
+    """
+    shared = met.filter("hot").select(F.col("a").alias("sig"), F.col("b").alias("node"), "space", F.col("agreed").alias("size"), F.col("floor_a").alias("weight"), F.col("floor_b").alias("room"))
+    lost = shared.groupBy("node", "space").agg(F.count(F.lit(1)).alias("loss"), F.max("room").alias("room"))
+    dense = shared.join(lost.filter("loss > room").select("node", "space", "loss"), ["node", "space"])
+    # sets without any room (room = -1) rely on others of the list, or on the finest space
+    lists = dense.groupBy("sig", "space").agg(F.count(F.lit(1)).alias("members"), F.max("room").alias("best")).filter("best >= 0 and members > 1")
+    dense = stage_table(dense.join(lists.select("sig", "space", "members"), ["sig", "space"]), "crowded")
+    mid = dense.filter(F.col("members") <= most)
+    left, right = (mid.select("sig", "space", *[F.col(c).alias(c + x) for c in ("node", "size", "weight")]) for x in "ab")
+    met_again = left.join(right, ["sig", "space"]).filter("nodea < nodeb").filter(F.least("sizea", "sizeb") >= theta * F.greatest("sizea", "sizeb") - 1e-9)
+    apart = F.floor((F.col("sizea") + F.col("sizeb")) * ((1 - theta) / (1 + theta)) + 1e-9).cast("int")
+    fine = F.col("space") == FINEST
+    floors = [F.when(fine, F.least("weighta", "weightb")).otherwise(F.col(f"weight{x}") - apart).alias(f"floor_{x}") for x in "ab"]
+    pairs = met_again.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), "space", F.lit(1).alias("agreed"), *floors)
+    top = dense.filter(F.col("members") > most)
+    over = top.groupBy("node", "space").agg(F.count(F.lit(1)).alias("over"), F.max("room").alias("room"))
+    there = dense.select("node", "space").distinct().withColumn("dense", F.lit(True))
+    loss = lost.join(there, ["node", "space"], "left").join(over.select("node", "space", "over"), ["node", "space"], "left")
+    loss = loss.select("node", "space", "loss", F.coalesce("dense", F.lit(False)).alias("dense"), F.coalesce("over", F.lit(0)).alias("over"))
+    tied = top.join(over.filter("over > room").select("node", "space"), ["node", "space"], "left_semi")
+    hubs = tied.groupBy("sig", "space").agg(F.min("node").alias("hub"), F.max("room").alias("best")).filter("best >= 0")
+    stars = tied.join(hubs, ["sig", "space"]).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return pairs, loss, stars
+
+
+def candidate_components(docs: DataFrame, n_bytes: int, theta: float = THETA, n: int = N, hot: int = HOT, most: int = CROWD) -> DataFrame:
+    """node (of ``text_keys``), component: every pair of at least theta lies in one component.
+
+    Pairs that agree on less weight than their rooms ask for are dropped.
     """
-    docs = docs.select("doc_id", "text")
     words, bits, n_docs = word_bits(docs)
     plan = Plan(words, bits, n_docs, theta)
-    n_buckets = max(1, text_bytes(docs) // (4 << 20))
-    blobs = docs.mapInArrow(_index(plan, n, n_buckets), "bucket int, sigs binary, owner binary, weight binary, nodes binary, modes binary, rooms binary")
-    met = blobs.groupBy("bucket").applyInArrow(_meet(hot), "hot boolean, a long, b long, mode int, weight int, room int")
+    plan.reach(1 << 16)
+    for band in range(len(plan.his)):
+        plan.scheme(band)
+    n_buckets = max(1, n_bytes // BUCKET_BYTES)
+    blobs = docs.select("text").mapInArrow(_index(plan, n, n_buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOB))
+    met = blobs.groupBy("bucket").applyInArrow(_meet(hot, theta), "hot boolean, a long, b long, space int, agreed int, floor_a int, floor_b int")
     met = stage_table(met, "agreements")
-    edges = met.filter("not hot").select("a", "b", F.shiftright("mode", 1).alias("band"))
-    shared = met.filter("hot")
-    lost = shared.groupBy("b", "mode").agg(F.sum("weight").alias("loss"), F.max("room").alias("room")).filter("loss > room").select("b", "mode")
-    dense = shared.join(lost, ["b", "mode"], "left_semi").select(F.col("a").alias("sig"), "b", F.shiftright("mode", 1).alias("band"))
-    hubs = dense.groupBy("sig", "band").agg(F.min("b").alias("a"))
-    stars = dense.join(hubs, ["sig", "band"]).select("a", "b", "band")
+    again, loss, stars = _crowded(met, theta, most)
+    loss = stage_table(loss, "losses")
+    pairs = met.filter("not hot").drop("hot").unionByName(again)
+    pairs = pairs.groupBy("a", "b", "space").agg(F.sum("agreed").alias("agreed"), F.max("floor_a").alias("floor_a"), F.max("floor_b").alias("floor_b"))
+    for side in "ab":
+        less = loss.select(F.col("node").alias(side), "space", *[F.col(c).alias(c + side) for c in ("loss", "dense", "over")])
+        pairs = pairs.join(less, [side, "space"], "left")
+    both = F.coalesce(F.col("densea") & F.col("denseb"), F.lit(False))
+    floors = [F.col(f"floor_{x}") - F.coalesce(F.when(both, F.col(f"over{x}")).otherwise(F.col(f"loss{x}")), F.lit(0)) for x in "ab"]
+    edges = pairs.filter(F.col("agreed") >= F.greatest(*floors)).select("a", "b")
     links = stage_table(edges.unionByName(stars).filter("a <> b").distinct(), "candidates")
+    tied = components(links)
     drop_staged(met)
-    # two nodes of one hash would only be verified together
-    tied = components(links.select(F.xxhash64("a", "band").alias("a"), F.xxhash64("b", "band").alias("b")))
-    names = links.select("a", "band").union(links.select("b", "band")).distinct().select(F.col("a").alias("doc"), "band", F.xxhash64("a", "band").alias("node"))
-    most = F.element_at(F.array(*[F.lit(h) for h in plan.his]), F.col("band") + 1)  # n-grams that a set of the band has at most
-    return tied.join(names, "node").groupBy(F.col("doc").alias("node"), "component").agg(F.max(most).cast("long").alias("grams"))
+    drop_staged(loss)
+    return tied
 
 
 # ---------------------------------------------------------------- verification
@@ -400,126 +533,178 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
     return i[keep], j[keep], got[keep], union[keep]
 
 
-def _verify(theta: float, n: int, forest: bool):
-    """Of a bin of (part of) components: all pairs, or of ``forest`` one link per document to an equal or linked one."""
+def _linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of what each of n nodes is connected with."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verify(theta: float, n: int):
+    """Of a bin of (part of) components: how many rows each node is linked with there, and a node that links lead to."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
         where = np.stack([table.column(c).to_numpy() for c in ("component", "p", "q")], axis=1)
         _, which = np.unique(where, axis=0, return_inverse=True)
         which = which.ravel()
         block = table.column("block").to_numpy()
-        order = np.lexsort((ids, block, which))
+        node = table.column("node").to_numpy()
+        order = np.lexsort((node, block, which))
         table = table.take(pa.array(order))
-        ids, where, block, which = ids[order], where[order], block[order], which[order]
+        where, block, which, node = where[order], block[order], which[order], node[order]
+        copies = table.column("copies").to_numpy()
         bounds = np.flatnonzero(np.diff(np.concatenate([[-1], which, [which.max() + 1]]))).tolist() if len(which) else []
         held = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("text")).fill_null(0).to_numpy().astype(np.int64))])
-        out = [[], [], [], []]
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
         base = end = 0
         for s, e in zip(bounds, bounds[1:]):
             if e > end:  # the n-grams of this part and of some more, up to a few MB
                 base, end = s, max(e, bounds[int(np.searchsorted(held[bounds], held[s] + _STEP, "right")) - 1])
-                g, off, _, _ = ngram_sets(table.column("text").slice(base, end - base), n)
-            rows = np.arange(s, e)
+                g, off = ngram_sets(table.column("text").slice(base, end - base), n)[:2]
             p, q = where[s, 1], where[s, 2]
-            classes: dict[tuple[int, bytes], list[int]] = {}
-            for r in rows.tolist():
-                if off[r + 1 - base] > off[r - base]:
-                    classes.setdefault((int(block[r]), g[off[r - base] : off[r + 1 - base]].tobytes()), []).append(r)
-            members = [sorted({int(ids[r]) for r in v}) for v in classes.values()]
-            sets = [g[off[v[0] - base] : off[v[0] + 1 - base]] for v in classes.values()]
-            across = None if p == q else sum(1 for b, _ in classes if b == p)
-            if across is None:
-                for a, s_ in zip(members, sets):
-                    if len(a) > 1:
-                        a = np.array(a)
-                        x, y = (np.zeros(len(a) - 1, np.int64), np.arange(1, len(a))) if forest else np.triu_indices(len(a), 1)
-                        out[0].append(a[x]), out[1].append(a[y])
-                        out[2].append(np.full(len(x), len(s_))), out[3].append(np.full(len(x), len(s_)))
-            if len(sets) > 1:
-                i, j, got, union = _overlaps(sets, theta, across)
-                if forest or all(len(x) == 1 for x in members):
-                    lead = np.array([x[0] for x in members])
-                    x, y = lead[i], lead[j]
-                else:
-                    lens = np.array([len(x) for x in members])
-                    flat, start = np.concatenate([np.array(x) for x in members]), np.cumsum(lens) - lens
-                    times = lens[i] * lens[j]
-                    pick = np.repeat(np.arange(len(i)), times)
-                    k = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-                    x, y = flat[start[i[pick]] + k // lens[j[pick]]], flat[start[j[pick]] + k % lens[j[pick]]]
-                    got, union = got[pick], union[pick]
-                apart = x != y
-                out[0].append(x[apart]), out[1].append(y[apart]), out[2].append(got[apart]), out[3].append(union[apart])
-        a, b, got, union = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-        return pa.table(
-            {
-                "doc_id_a": pa.array(np.minimum(a, b), pa.int64()),
-                "doc_id_b": pa.array(np.maximum(a, b), pa.int64()),
-                "overlap": pa.array(got, pa.int64()),
-                "total": pa.array(union, pa.int64()),
-            }
-        )
+            across = None if p == q else int(np.searchsorted(block[s:e], p, "right") if p < q else 0)
+            i, j, _, _ = _overlaps([g[off[r - base] : off[r + 1 - base]] for r in range(s, e)], theta, across)
+            if len(i):
+                links = np.bincount(i, copies[s:e][j], e - s) + np.bincount(j, copies[s:e][i], e - s)
+                some = np.flatnonzero(links)
+                for k, v in enumerate((node[s:e][some], links[some].astype(np.int64), node[s:e][_linked(e - s, i, j)[some]])):
+                    out[k].append(v)
+        return pa.table({k: pa.array(np.concatenate(v)) for k, v in zip(("node", "links", "to"), out)})
 
     return run
 
 
-def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, forest: bool = False, block: int = BLOCK) -> DataFrame:
-    """doc_id_a < doc_id_b, overlap, total: pairs with overlap / total >= theta, each once.
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), node, words: of each row."""
 
-    n-grams are of words: runs of letters, digits and non-ASCII characters, ASCII letters lower-cased.  A text of fewer than
-    n words has one n-gram, all its words; a null text or one without words has no pair.  Repeated rows under one id are one
-    document; of different texts under one id each is compared, and the pair's highest similarity is given.  Rows with a null
-    id have no pair.  Other columns are not read.  ``forest`` gives, instead of all pairs, enough of them to connect what all
-    of them connect.
+    def run(batches):
+        for batch in batches:
+            _, offsets = string_buffers(batch.column("text"))
+            for i, j in slices(offsets, _STEP):
+                part = batch.slice(i, j - i)
+                data, off = string_buffers(part.column("text"))
+                h, _, _, tok = hash_tokens(data, off, "word")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("th"), pa.array(text_keys(h, tok)), pa.array(np.diff(tok), pa.int64())], names=["doc_id", "th", "node", "words"]
+                )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, node long, words long")
 
-    A component of more than ``block`` n-grams is verified in pairs of blocks, so no task holds more than two.
+
+def _one_text_each(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """wanted (with doc_id and th) with the text of such a row."""
+    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), "text")
+    found = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["__id"]) & (wanted["th"] == texts["__th"])).drop("__id", "__th", "doc_id", "th")
+    return found.dropDuplicates(["node"]) if repeated else found
+
+
+def groups(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, block: int = BLOCK, most: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, th, node, words; nodes with a link: node, copies, links, lead).
+
+    ``copies``: rows of the node.  ``links``: rows of other nodes that are similar to it.  ``lead``: the least (doc_id, th) of
+    the group, null ids last.  A component of more than ``block`` words is verified in pairs of blocks.
     """
-    texts = docs.select("doc_id", "text").filter("doc_id is not null")
-    parts = stage_table(candidate_components(texts, theta, n, hot), "components")
-    count = parts.groupBy("component").agg(F.sum("grams").alias("size"))
-    parts = parts.join(count, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("grams")
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    matched = texts.join(parts, texts["doc_id"] == parts["node"]).drop("node", "size")
-    n_bins = max(1, text_bytes(texts) // (4 << 20))
-    each = matched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = stage_table(_members(docs), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    nodes = rows.filter("words > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("least"), F.max("words").alias("words"))
+    nodes = stage_table(nodes, "nodes")
+    repeated = not nodes.filter("copies > 1").isEmpty()
+    n_bytes = text_bytes(docs)
+    parts = candidate_components(docs, n_bytes, theta, n, hot, most).join(nodes, "node")
+    parts = stage_table(parts.select("node", "component", "copies", "words", "least.doc_id", "least.th"), "parts")
+    count = parts.groupBy("component").agg(F.ceil(F.sum("words") / block).cast("int").alias("blocks"))
+    each = parts.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = _one_text_each(docs, each.drop("words"), repeated)
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "blocks")
-    key = F.pmod(F.xxhash64("component", "p", "q"), F.lit(n_bins))
-    found = each.groupBy(key.alias("bin")).applyInArrow(_verify(theta, n, forest), "doc_id_a long, doc_id_b long, overlap long, total long")
-    return found if forest else found.groupBy("doc_id_a", "doc_id_b").agg(F.max_by(F.struct("overlap", "total"), F.col("overlap") / F.col("total")).alias("x")).select("doc_id_a", "doc_id_b", "x.overlap", "x.total")
+    bins = max(1, n_bytes // BIN_BYTES)
+    spot = F.pmod(F.xxhash64("component", "p", "q"), F.lit(bins))
+    found = stage_table(each.groupBy(spot.alias("bin")).applyInArrow(_verify(theta, n), "node long, links long, to long"), "found")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    tied = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    of = nodes.join(links, "node", "left").join(tied, "node", "left").filter("copies > 1 or links > 0")
+    of = of.select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"), "least")
+    lead = of.groupBy("component").agg(F.min("least").alias("lead"))
+    linked = stage_table(of.join(lead, "component").select("node", "copies", "links", "lead"), "linked")
+    for x in (parts, found, nodes):
+        drop_staged(x)
+    return rows, linked
+
+
+def similar(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, block: int = BLOCK, most: int = CROWD) -> DataFrame:
+    """doc_id, class_id, n_links: one row for each row of docs.
+
+    A row is linked with every other row whose set of n-grams has a Jaccard similarity of at least theta; ``n_links`` counts
+    them, copies included.  Links connect classes; ``class_id`` is the least id in the class.
+
+    n-grams are of words: runs of letters, digits and non-ASCII characters, ASCII letters lower-cased.  A text of fewer than
+    n words has one n-gram, all its words.  A null text or one without words has no link and its own id as class; so has a row
+    that nothing is similar to.  Repeated rows are rows like others, also under one id; a null id is an id unknown, so a class
+    of such rows alone has a null class_id.  Other columns are not read.  n-grams and texts are told apart by 64-bit hashes.
+    """
+    rows, linked = groups(docs.select("doc_id", "text"), theta, n, hot, block, most)
+    found = rows.filter("words > 0").join(linked, "node", "left")
+    n_links = F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long")
+    found = found.select("doc_id", F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"), n_links.alias("n_links"))
+    return found.unionByName(rows.filter("words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
-def keep_one(docs: DataFrame, theta: float = THETA, n: int = N) -> DataFrame:
-    """Rows of docs with one document of each group: groups are what similar pairs connect, the least id stays.
+def keep_one(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, block: int = BLOCK, most: int = CROWD) -> DataFrame:
+    """Rows of docs with one row of each class of ``similar``: the one of the least id (null ids last), then of the least hash
+    of the text, and of rows equal in both the one whose columns written as JSON come first.
 
-    Rows with a null id, a null text or no words all stay.  Of rows repeated under one id, one of the least text stays.
+    Rows with a null text or no words all stay.  Unlike texts of one id are rows like others.
+    Names beginning with two underscores are ours.
     """
-    groups = components(similar(docs, theta, n, forest=True), "doc_id_a", "doc_id_b")
-    gone = groups.filter("node <> component").select(F.col("node").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    line = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    rest = kept.filter("doc_id is null")
-    once = kept.filter("doc_id is not null").withColumn("__n", F.row_number().over(line)).filter("__n = 1").drop("__n")
-    return once.unionByName(rest)
+    rows, linked = groups(docs.select("doc_id", "text"), theta, n, hot, block, most)
+    away = rows.filter("words > 0").join(linked.select("node", "lead"), "node")
+    away = away.filter(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("th") == F.col("lead.th")))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__at")).distinct()
+    mine = docs.withColumn("__th", F.xxhash64("text"))
+    kept = mine.join(away, mine["doc_id"].eqNullSafe(away["__id"]) & (mine["__th"] == away["__at"]), "left_anti")
+    twice = stage_table(rows.filter("words > 0").groupBy("doc_id", "th").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__at")), "repeated")
+    if twice.isEmpty():
+        return kept.drop("__th")
+    same = kept["doc_id"].eqNullSafe(twice["__id"]) & (kept["__th"] == twice["__at"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(twice, same, "left_semi").groupBy("doc_id", "__th").agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return kept.join(twice, same, "left_anti").drop("__th").unionByName(one.select("__row.*"))
 
 
 def oracle(theta: float = THETA) -> str:
-    """DuckDB SQL for ``similar`` with bigrams over documents, by counting common bigrams of all pairs."""
+    """DuckDB SQL for ``similar`` with bigrams over documents, by counting common bigrams of all pairs and following links."""
     return rf"""
-WITH d AS (
-  SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS tok
-  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS tok
+  FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN len(tok) = 1 THEN [tok[1]] ELSE list_distinct([tok[i] || ' ' || tok[i + 1] for i in range(1, len(tok))]) END AS grams
+  SELECT r, CASE WHEN len(tok) = 1 THEN [tok[1]] ELSE list_distinct([tok[i] || ' ' || tok[i + 1] for i in range(1, len(tok))]) END AS grams
   FROM d WHERE len(tok) > 0
-), sized AS (
-  SELECT doc_id, grams, len(grams) AS n FROM s
 ), g AS (
-  SELECT doc_id, n, unnest(grams) AS gram FROM sized
+  SELECT r, len(grams) AS n, unnest(grams) AS gram FROM s
 ), common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k
-  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.n >= {theta} * b.n AND b.n >= {theta} * a.n
+  SELECT a.r AS a, b.r AS b, a.n AS na, b.n AS nb, count(*) AS k
+  FROM g a JOIN g b ON a.gram = b.gram AND a.r < b.r AND a.n >= {theta} * b.n AND b.n >= {theta} * a.n
   GROUP BY 1, 2, 3, 4
+), pair AS (
+  SELECT a, b FROM common WHERE k >= {theta} * (na + nb - k) - 1e-9
+), link AS (
+  SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair
+), reach AS (
+  SELECT r, r AS x FROM d
+  UNION
+  SELECT reach.r, link.b FROM reach JOIN link ON reach.x = link.a
+), class AS (
+  SELECT reach.r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.x GROUP BY 1
+), degree AS (
+  SELECT a, count(*) AS n FROM link GROUP BY 1
 )
-SELECT a AS doc_id_a, b AS doc_id_b, k::BIGINT AS overlap, (na + nb - k)::BIGINT AS total FROM common WHERE k >= {theta} * (na + nb - k) - 1e-9
+SELECT d.doc_id, class_id, coalesce(degree.n, 0)::BIGINT AS n_links FROM d JOIN class USING (r) LEFT JOIN degree ON degree.a = d.r
 """

@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from tests.comparing import duck
 
 from glyphward.llm import jaccard_join as J
 
@@ -12,14 +14,30 @@ def grams(text, n=2):
 
 
 def brute(rows, theta=0.8, n=2):
-    best = {}
-    sets = [(i, grams(t, n)) for i, t in rows if i is not None]
-    for a, (i, x) in enumerate(sets):
-        for j, y in sets[a + 1 :]:
-            if i != j and x and y and len(x & y) / len(x | y) >= theta:
-                key = (min(i, j), max(i, j))
-                best[key] = max(best.get(key, (0, 0, 0)), (len(x & y) / len(x | y), len(x & y), len(x | y)))
-    return sorted((*k, v[1], v[2]) for k, v in best.items())
+    sets = [grams(t, n) for _, t in rows]
+    label, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            y = sets[b]
+            if x and y and len(x & y) / len(x | y) >= theta:
+                links[a] += 1
+                links[b] += 1
+                label[find(a)] = find(b)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(find(k), []).append(i)
+    least = {k: min((i for i in v if i is not None), default=None) for k, v in ids.items()}
+    return sorted(((i, least[find(k)], links[k]) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in df.collect()), key=repr)
 
 
 def corpus(seed=0):
@@ -38,24 +56,64 @@ def corpus(seed=0):
     return rows
 
 
-@pytest.mark.parametrize("theta", [0.8, 0.6])
+def hub(rng, members, size=60):
+    """A group of near copies that are all unlike, each entry of which many share."""
+    base = [f"h{k}" for k in range(size)]
+    for k in range(members):
+        t = list(base)
+        for _ in range(rng.randrange(8)):
+            t[rng.randrange(size)] = f"v{k}"
+        yield " ".join(t)
+
+
+@pytest.mark.parametrize("theta", [0.6, 0.8, 0.9])
 def test_equals_brute_force(spark, theta):
     rows = corpus()
     rows += [(1000 + k, "alike " * 3 + "many copies of one text " * 4) for k in range(30)]
+    rows += [(2000 + k, t) for k, t in enumerate(hub(random.Random(5), 40))]
+    # a shared passage ties texts that are not similar
+    rows += [(3000 + k, " ".join([f"p{x}" for x in range(20)] + [f"q{k}x{x}" for x in range(30)])) for k in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(J.similar(df, theta, hot=5, most=12, block=400)) == brute(rows, theta)
+
+
+@pytest.mark.parametrize("strangers", [3, -4])
+def test_segments_with_deletions_equal_brute_force(spark, monkeypatch, strangers):
+    """Schemes with segments and deep segments forced, as a cost model of larger corpora would choose them."""
+    monkeypatch.setattr(J.Plan, "_choose", lambda self, band: (0.0, max(1, round(self.his[band] / 1.5)), max(1, round(self.his[band] / 1.5))))
+    monkeypatch.setattr(J, "_STRANGERS", strangers)
+    rows = corpus(7) + [(2000 + k, t) for k, t in enumerate(hub(random.Random(6), 30))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, J.similar(df, theta, hot=5, block=400).collect()))
-    assert got == brute(rows, theta)
+    for theta in (0.6, 0.9):
+        assert got(J.similar(df, theta, hot=4, most=8)) == brute(rows, theta)
+
+
+def test_sql(spark, tmp_path):
+    rows = corpus(3) + [(1, "the same id"), (None, "the same id"), (None, None), (5000, None), (5001, "...")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duck(str(tmp_path)).sql(J.oracle()).fetchall()
+    assert got(J.similar(spark.read.parquet(str(tmp_path / "documents.parquet")))) == sorted(want, key=repr) == brute(rows, J.THETA)
 
 
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (3, "..."), (4, "Same text here"), (5, "same TEXT here"), (5, "same TEXT here"), (None, "same text here"), (6, "one"), (7, "One"), (8, "x y " * 30_000), (9, "x y " * 30_000)]
-    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, node int, component string")
-    assert sorted(map(tuple, J.similar(docs).collect())) == brute(rows) == [(4, 5, 2, 2), (6, 7, 1, 1), (8, 9, 2, 2)]
+    long = "x y " * 30_000
+    rows = [(1, None), (2, ""), (3, "..."), (4, "Same text here"), (5, "same TEXT here"), (5, "same TEXT here"), (None, "same text here"), (6, "one"), (7, "One"), (8, long), (9, long), (None, "alone"), (9, "another text of the id")]
+    docs = spark.createDataFrame([(i, t, 1, "c", 2) for i, t in rows], "doc_id long, text string, node int, component string, __n int")
+    assert got(J.similar(docs)) == brute(rows)
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect() if r["text"]) == sorted([(0, "same text here"), (2, ""), (3, "..."), (4, "Same text here"), (6, "one"), (8, "x y " * 30_000)][0:1] + [(3, "..."), (4, "Same text here"), (6, "one"), (8, "x y " * 30_000)])
-    assert {r["doc_id"] for r in kept.collect()} == {None, 1, 2, 3, 4, 6, 8}
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted(
+        [("1", ""), ("2", ""), ("3", "..."), ("4", "Same text here"), ("6", "one"), ("8", long), ("None", "alone"), ("9", "another text of the id")]
+    )
     assert J.similar(docs.limit(0)).count() == 0 and J.keep_one(docs.limit(0)).count() == 0
+    empty = docs.filter("doc_id < 4")
+    assert J.similar(empty).count() == 3 and J.keep_one(empty).count() == 3
+
+
+def test_of_equal_rows_one_stays(spark):
+    docs = spark.createDataFrame([(1, "a b c", "z"), (1, "a b c", "y"), (1, "a b c", None), (1, "a b c", "z"), (1, "quite unlike it", "k"), (None, "n n m", "1"), (None, "n n m", "1")], "doc_id long, text string, source string")
+    one = J.keep_one(docs)
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted([(1, "a b c", "y"), (1, "quite unlike it", "k"), (None, "n n m", "1")], key=repr)
 
 
 def test_groups_are_connected(spark):
@@ -64,6 +122,19 @@ def test_groups_are_connected(spark):
     assert [r["doc_id"] for r in J.keep_one(df, theta=0.9).collect()] == [0]
 
 
+def test_bands_have_no_end():
+    plan = J.Plan(np.zeros(0, np.uint64), np.zeros(0), 10**10, 0.8)
+    assert plan.scheme(60)[1] >= 0 and plan.his[60] > 10**9
+    plan.reach(10**12)
+    assert plan.his[-1] >= 10**12
+
+
+def test_segments_are_chosen_where_they_pay():
+    """At a high threshold and with n-grams that are common one by one, segments and their neighbourhoods are cheaper."""
+    chosen = [J.Plan(np.arange(1, 4001, dtype=np.uint64), np.full(4000, 12.0), n, 0.9).scheme(band) for n in (10**4, 10**7) for band in range(10, 30)]
+    assert any(m > 0 for _, m, _ in chosen)
+
+
 def test_production_threshold_catches_replaced_words(spark):
     """Near copies with 6-10 % of the words replaced, each costing two bigrams; and strangers that share half their text."""
     rng = random.Random(3)
@@ -75,7 +146,5 @@ def test_production_threshold_catches_replaced_words(spark):
         rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(copy)), (10 * k + 2, " ".join(stranger))]
         copies.add((10 * k, 10 * k + 1))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = J.similar(df).collect()
-    assert {(r["doc_id_a"], r["doc_id_b"]) for r in got} == copies
-    assert all(0.6 < r["overlap"] / r["total"] < 0.8 for r in got)
+    assert {(r["class_id"], r["doc_id"]) for r in J.similar(df).collect() if r["doc_id"] != r["class_id"]} == copies
     assert {r["doc_id"] for r in J.keep_one(df).collect()} == {i for i, _ in rows} - {b for _, b in copies}
