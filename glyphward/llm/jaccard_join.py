@@ -44,7 +44,7 @@ from .components import components
 THETA = 0.6
 N = 2
 #: An index entry of more sets than this is passed over (see above).
-HOT = 24
+HOT = 16
 #: Words of the texts that one block of a component holds.
 BLOCK = 1_000_000
 #: Of sets that lose too many such entries, entries of up to so many are joined (see above).
@@ -62,6 +62,23 @@ _SPARE = 0.15  # share of n-grams that sets list more than one of which must agr
 _STRANGERS = 3  # log2 of the strangers that an entry may be expected to meet
 
 
+def _ordered(rows: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Order by row, then by the keys: 64-bit hashes, the first of two a number below 2**16.  One sort of packed keys, where
+    these tell all apart; else a slower one."""
+    if len(rows) and int(rows.max()) < 1 << 20:
+        packed = rows.astype(U64) << U64(44)
+        used = 20
+        if len(keys) > 1:
+            packed |= keys[0].astype(U64) << U64(28)
+            used = 36
+        packed |= keys[-1] >> U64(used)
+        order = np.argsort(packed)
+        twin = np.flatnonzero(packed[order[1:]] == packed[order[:-1]])
+        if (keys[-1][order[twin]] == keys[-1][order[twin + 1]]).all():
+            return order
+    return np.lexsort((*keys[::-1], rows))
+
+
 def ngram_sets(texts, n: int) -> tuple[np.ndarray, ...]:
     """Distinct n-grams of texts, ordered by text: (hashes, offsets, first word's hash, last word's hash), and the texts' keys.
 
@@ -75,7 +92,7 @@ def ngram_sets(texts, n: int) -> tuple[np.ndarray, ...]:
     some = np.flatnonzero((counts > 0) & (counts < n))
     first = np.concatenate([h[at], h[tok[some]]]) if len(h) else h
     last = np.concatenate([h[at + n - 1], h[tok[some + 1] - 1]]) if len(h) else h
-    order = np.lexsort((g, rows))
+    order = _ordered(rows, g)
     g, rows = g[order], rows[order]
     keep = np.ones(len(g), bool)
     keep[1:] = (g[1:] != g[:-1]) | (rows[1:] != rows[:-1])
@@ -257,7 +274,7 @@ def _entries(plan: Plan, g, offsets, first, last):
         n = sizes[few]
         which = np.repeat(np.arange(len(few)), n)
         at = np.repeat(offsets[few] - (np.cumsum(n) - n), n) + np.arange(len(which))
-        order = np.lexsort((g[at], -info[at], which))
+        order = _ordered(which, ((2 * _RARE - info[at]) * 1024).astype(np.int64), g[at])
         which, at = which[order], at[order]
         place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         agree = 1 + np.floor(_SPARE * n + 1e-9).astype(np.int64)
@@ -441,11 +458,12 @@ def candidate_components(docs: DataFrame, n_bytes: int, theta: float = THETA, n:
     met = stage_table(met, "agreements")
     again, loss, stars = _crowded(met, theta, most)
     loss = stage_table(loss, "losses")
-    pairs = met.filter("not hot").drop("hot").unionByName(again)
+    # by a, so that counting, the losses of a and a first cut need one exchange
+    pairs = met.filter("not hot").drop("hot").unionByName(again).repartition("a", "space")
     pairs = pairs.groupBy("a", "b", "space").agg(F.sum("agreed").alias("agreed"), F.max("floor_a").alias("floor_a"), F.max("floor_b").alias("floor_b"))
     for side in "ab":
         less = loss.select(F.col("node").alias(side), "space", *[F.col(c).alias(c + side) for c in ("loss", "dense", "over")])
-        pairs = pairs.join(less, [side, "space"], "left")
+        pairs = pairs.join(less, [side, "space"], "left").filter(F.col("agreed") >= F.col(f"floor_{side}") - F.coalesce(f"loss{side}", F.lit(0)))
     both = F.coalesce(F.col("densea") & F.col("denseb"), F.lit(False))
     floors = [F.col(f"floor_{x}") - F.coalesce(F.when(both, F.col(f"over{x}")).otherwise(F.col(f"loss{x}")), F.lit(0)) for x in "ab"]
     edges = pairs.filter(F.col("agreed") >= F.greatest(*floors)).select("a", "b")
