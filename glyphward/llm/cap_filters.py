@@ -1,16 +1,19 @@
 """Operator 9: near-equal embeddings by spherical-cap filters from structured random product codes.
 
-The coordinates of a (randomly rotated) unit vector are divided into BLOCKS blocks, each with its own code of random unit
+Rows of one and the same vector are one node, so copies are never compared with each other.
+
+The coordinates of a (randomly rotated) unit vector are divided into blocks (as many as keep a block's code small), each with its own code of random unit
 vectors.  A filter is a choice of one code word per block; its direction is the words joined and scaled.  A vector passes
 the filters whose direction has an inner product of at least alpha with it; since that product is a sum over blocks, all
-of them are listed from the blocks' sorted products without looking at the others.  Vectors meet on common filters, and
+of them are listed block by block, without looking at filters that the best of the later blocks could not save.  Vectors meet on common filters, and
 meetings are verified.
 
 The number of filters grows in proportion to the number of vectors and alpha follows from it, so that a vector passes about
 PASSED filters and meets about PASSED**2 / PER_VECTOR strangers at every size.
 
 An entry of the join is a filter, an id and 128 signs of random projections, 32 bytes: meetings whose signs differ in more
-places than all but one in 10**5 pairs at the threshold do are dropped before the vectors are fetched.
+places than all but one in 10**5 pairs at the threshold do are dropped before the vectors are fetched.  A filter that more
+than SPLIT vectors pass is joined in pairs of parts of about that size, so no task meets a whole group of near copies.
 """
 
 from __future__ import annotations
@@ -19,12 +22,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stage_table
+from .common import drop_staged, stage_table
+from .components import components
 
 THRESHOLD = 0.95
-BLOCKS = 2
+#: Code words of a block at most, two blocks at least.
+WORDS = 4096
+SPLIT = 1024
 PASSED = 32
 PER_VECTOR = 16
 #: A vector also passes the filters within this of its best one, so that none passes no filter.
@@ -49,7 +55,7 @@ class Code:
     def __init__(self, dim: int, n_vectors: int, passed: float = PASSED, per_vector: float = PER_VECTOR, threshold: float = THRESHOLD, seed: int = SEED):
         rng = np.random.default_rng([seed, dim])
         self.dim = dim
-        self.blocks = min(BLOCKS, dim)
+        self.blocks = min(dim, max(2, math.ceil(math.log(max(2.0, per_vector * n_vectors)) / math.log(WORDS))))
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         size = max(8, math.ceil((per_vector * max(n_vectors, 1)) ** (1 / self.blocks)))
         self.cuts = [dim * k // self.blocks for k in range(self.blocks + 1)]
@@ -81,19 +87,15 @@ class Code:
             rest[k] = rest[k + 1] + products[k].max(axis=1)
         alpha = np.minimum(self.alpha, rest[0] - SLACK)
         for k, p in enumerate(products):
-            order = np.argsort(-p, axis=1)
-            ranked = np.take_along_axis(p, order, axis=1)
             need = alpha[rows] - have - rest[k + 1][rows]
-            # ranked products fall, so each partial choice continues with a prefix of the list
-            count = np.zeros(len(rows), np.int64)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             step = max(1, (1 << 22) // self.size)
             for i in range(0, len(rows), step):
-                count[i : i + step] = (ranked[rows[i : i + step]] >= need[i : i + step, None]).sum(axis=1)
-            again = np.repeat(np.arange(len(rows)), count)
-            at = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
-            rows, have, number = rows[again], have[again], number[again]
-            have = have + ranked[rows, at]
-            number = number * self.size + order[rows, at]
+                at, word = np.nonzero(p[rows[i : i + step]] >= need[i : i + step, None])
+                found.append((at + i, word))
+            at, word = (np.concatenate(x) for x in zip(*found))
+            have = have[at] + p[rows[at], word]
+            rows, number = rows[at], number[at] * self.size + word
         return rows, number
 
     def signs(self, v: np.ndarray) -> np.ndarray:
@@ -174,7 +176,7 @@ def _verify(threshold: float):
             cosine = np.einsum("ij,ij->i", a, b) if len(a) else np.zeros(0)
             keep = cosine >= threshold
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(keep)) for c in ("vec_id_a", "vec_id_b")] + [pa.array(cosine[keep])], names=["vec_id_a", "vec_id_b", "cosine"]
+                [batch.column(c).filter(pa.array(keep)) for c in "ab"], names=["a", "b"]
             )
 
     return run
@@ -192,44 +194,80 @@ def unit_pairs(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def similar(vectors: DataFrame, threshold: float = THRESHOLD, passed: float = PASSED, per_vector: float = PER_VECTOR) -> DataFrame:
-    """vec_id_a < vec_id_b, cosine: pairs with cosine >= threshold, each once; all but a small share of them are found.
+def _node() -> Column:
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
+    return F.when(sound, F.xxhash64("embedding"))
 
-    Vectors that are null, empty, zero or hold a null or non-finite element have no pair, neither have null ids; only vectors
-    of one dimension are compared.  Repeated rows under one id are one vector; of different vectors under one id each is
-    compared, and the pair's greatest cosine given.  Other columns are not read.
-    """
-    base = vectors.select("vec_id", "embedding").filter("vec_id is not null and embedding is not null")
-    n = base.count()
+
+def links(nodes: DataFrame, threshold: float, passed: float, per_vector: float, split: int) -> DataFrame:
+    """a < b: nodes (node, embedding) whose cosine is at least threshold, each pair once."""
+    n = nodes.count()
+    base = nodes.select(F.col("node").alias("vec_id"), "embedding")
     met = stage_table(entries(base, n, passed, per_vector, threshold), "caps")
     most = {d["dim"]: Code(d["dim"], n, passed, per_vector, threshold).most for d in met.select("dim").distinct().collect()}
     limit = F.lit(0)
     for dim, m in sorted(most.items()):  # a dimension is a kind of embedding; there are few
         limit = F.when(F.col("dim") == dim, F.lit(m)).otherwise(limit)
-    left = met.select("dim", "filter", F.col("vec_id").alias("vec_id_a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    right = met.select("dim", "filter", F.col("vec_id").alias("vec_id_b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
+    crowds = met.groupBy("dim", "filter").count().filter(F.col("count") > 1).select("dim", "filter", F.ceil(F.col("count") / split).cast("int").alias("parts"))
+    met = met.join(crowds, ["dim", "filter"])
+    part, other = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    left = met.select("dim", "filter", part.alias("p"), F.explode(other).alias("q"), F.col("vec_id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
+    right = met.select("dim", "filter", part.alias("q"), F.explode(other).alias("p"), F.col("vec_id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    pairs = left.join(right, ["dim", "filter"]).filter((F.col("vec_id_a") < F.col("vec_id_b")) & (apart <= limit)).select("dim", "vec_id_a", "vec_id_b").distinct()
-    good = base.filter(F.size("embedding") > 0).distinct()
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    good = good.filter(sound).withColumn("dim", F.size("embedding"))
-    x = good.select("dim", F.col("vec_id").alias("vec_id_a"), F.col("embedding").alias("x"))
-    y = good.select("dim", F.col("vec_id").alias("vec_id_b"), F.col("embedding").alias("y"))
-    both = pairs.join(x, ["dim", "vec_id_a"]).join(y, ["dim", "vec_id_b"]).select("vec_id_a", "vec_id_b", "x", "y")
-    found = both.mapInArrow(_verify(threshold), "vec_id_a long, vec_id_b long, cosine double")
-    return found.groupBy("vec_id_a", "vec_id_b").agg(F.max("cosine").alias("cosine"))
+    pairs = left.join(right, ["dim", "filter", "p", "q"]).filter((F.col("a") < F.col("b")) & (apart <= limit)).select("a", "b").distinct()
+    x = nodes.select(F.col("node").alias("a"), F.col("embedding").alias("x"))
+    y = nodes.select(F.col("node").alias("b"), F.col("embedding").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
+
+
+def similar(vectors: DataFrame, threshold: float = THRESHOLD, passed: float = PASSED, per_vector: float = PER_VECTOR, split: int = SPLIT) -> DataFrame:
+    """vec_id, class_id, n_links: one row for each row of vectors.
+
+    A row is linked with every other row whose vector's cosine is at least threshold, all but a small share of which are
+    found; ``n_links`` counts them, copies included.  Links connect classes; ``class_id`` is the least id in the class.
+
+    Vectors that are null, empty, zero or hold a null or non-finite element have no link and their own id as class; only
+    vectors of one dimension are compared.  Repeated rows are rows like others, also under one id.  A null id is an id
+    unknown, so a class of such rows alone has a null class_id.  Other columns are not read.  Vectors are told apart by 64-bit
+    hashes.
+    """
+    rows = vectors.select("vec_id", "embedding").withColumn("node", _node())
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    nodes = stage_table(nodes, "vectors")
+    found = stage_table(links(nodes, threshold, passed, per_vector, split), "links")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = nodes.select("node", "copies", "least")
+    degree = both.join(counts.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
+    of = counts.join(degree, "node", "left").join(components(found), "node", "left").filter("copies > 1 or links > 0")
+    of = of.withColumn("component", F.coalesce("component", "node"))
+    lead = of.groupBy("component").agg(F.min("least").alias("class_id"))
+    of = stage_table(of.join(lead, "component").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "linked")
+    drop_staged(found)
+    drop_staged(nodes)
+    ids = rows.select("vec_id", "node")
+    linked = ids.filter("node is not null").join(of.withColumn("in_class", F.lit(True)), "node", "left")
+    linked = linked.select("vec_id", F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("vec_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return linked.unionByName(ids.filter("node is null").select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for ``similar`` over embeddings, comparing all pairs."""
+    """DuckDB SQL for ``similar`` over embeddings, comparing all pairs and following links."""
     return f"""
-WITH e AS (
-  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
 ), u AS (
-  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM e WHERE list_inner_product(v, v) > 0
-), pair AS (
-  SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, list_inner_product(a.v, b.v) / (a.norm * b.norm) AS cosine
-  FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  SELECT r, v, sqrt(list_inner_product(v, v)) AS norm FROM e WHERE v IS NOT NULL AND len(v) > 0 AND list_inner_product(v, v) > 0
+), link AS (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= {threshold}
+), reach AS (
+  SELECT r, r AS x FROM e
+  UNION
+  SELECT reach.r, link.b FROM reach JOIN link ON reach.x = link.a
+), class AS (
+  SELECT reach.r, min(e.vec_id) AS class_id FROM reach JOIN e ON e.r = reach.x GROUP BY 1
+), degree AS (
+  SELECT a, count(*) AS n FROM link GROUP BY 1
 )
-SELECT vec_id_a, vec_id_b, round(max(cosine), 5) AS cosine FROM pair WHERE cosine >= {threshold} GROUP BY 1, 2
+SELECT e.vec_id, class_id, coalesce(degree.n, 0)::BIGINT AS n_links FROM e JOIN class USING (r) LEFT JOIN degree ON degree.a = e.r
 """

@@ -47,8 +47,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cap_filters.similar(_table(spark, sf_dir, "embeddings"))
-    return found.select("vec_id_a", "vec_id_b", F.round("cosine", 5).alias("cosine"))
+    return cap_filters.similar(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
