@@ -54,7 +54,10 @@ def _fields(b: bytes):
 class MergeModel:
     """A SentencePiece model file of type BPE with byte fallback and no normalisation."""
 
-    def __init__(self, blob: bytes, cache_size: int = 200_000):
+    #: Segments, words and fits of pieces that are remembered, of each; and distinct segments in the numpy store.
+    FITS, STORE = 200_000, 500_000
+
+    def __init__(self, blob: bytes, cache_size: int = 20_000):
         self.digest = hashlib.sha256(blob).hexdigest()
         pieces: list[tuple[str, float, int]] = []
         spec: dict = {"dummy": True, "squeeze": True, "rules": b"", "type": 1}
@@ -98,6 +101,9 @@ class MergeModel:
             else:
                 raise ValueError(f"piece type {kind} is not supported")
         self.out = out
+        self.out_bytes = np.frombuffer(b"".join(out), np.uint8)
+        self.out_size = np.array([len(x) for x in out], np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
         self.dtype = np.dtype("<u2") if len(pieces) <= 1 << 16 else np.dtype("<u4")
         self.split_lf = not any("\n" in p for p in self.ids)
         self.automaton = ahocorasick.Automaton()
@@ -113,8 +119,14 @@ class MergeModel:
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.cache_size = cache_size
+        self._forget()
         self.lockstep = Lockstep(self)
 
+    def _forget(self) -> None:
+        """Empties the store of segments: their hashes in order, where their ids begin in ``store_ids``, and how many."""
+        self.store_keys, self.store_ids = np.zeros(0, np.uint64), np.zeros(0, self.dtype)
+        self.store_start, self.store_size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
     def _parts(self) -> str:
         """Pattern of the parts of a segment: the largest set of characters linked by adjacency in pieces, or the rest."""
         root: dict[str, str] = {}
@@ -185,7 +197,7 @@ class MergeModel:
         return [p for p in parts if p is not None]
 
     def _fit(self, a: str, b: str) -> bool:
-        if self.n_fits > 1_500_000:
+        if self.n_fits > self.FITS:
             self.fits.clear()
             self.n_fits = 0
         self.n_fits += 1
@@ -274,8 +286,9 @@ class MergeModel:
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of UTF-8 texts end to end, and the rows' offsets in them.
 
-        Texts whose blanks are single are cut into segments by numpy, and each distinct segment is looked up once; segments
-        are told apart by a 64-bit hash, those of over 64 bytes by their place.  Other texts are cut one by one.
+        Texts whose blanks are single are cut into segments by numpy, and each distinct segment is looked up once, in a store
+        that outlasts the call; segments are told apart by a 64-bit hash, those of over 64 bytes by their place.  Other texts
+        are cut one by one.
         """
         n = len(offsets) - 1
         sizes = np.diff(offsets)
@@ -330,16 +343,39 @@ class MergeModel:
         place = np.concatenate([begin * 2 + 1, feed * 2 + 1, bare * 2 + 1, bare_head * 2])
         keys = np.concatenate([key, np.full(len(feed), 1, np.uint64), np.full(len(bare) + len(bare_head), 2, np.uint64)])
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        marks, b, e, n_words = marked.tolist(), begin.tolist(), end.tolist(), len(begin)
+        n_words = len(begin)
+        lasting = (first >= n_words) | (end[np.minimum(first, n_words - 1)] - begin[np.minimum(first, n_words - 1)] <= 64) if n_words else np.ones(len(first), bool)
+        if len(self.store_keys):
+            at = np.minimum(np.searchsorted(self.store_keys, unique), len(self.store_keys) - 1)
+            hit = lasting & (self.store_keys[at] == unique)
+        else:
+            at, hit = np.zeros(len(unique), np.int64), np.zeros(len(unique), bool)
         raw = data.tobytes()
+        new = np.flatnonzero(~hit)
+        some = first[new]
+        word = some < n_words
+        bs, es, ms = (np.zeros(len(some), x.dtype) for x in (begin, end, marked))
+        for to, of in ((bs, begin), (es, end), (ms, marked)):
+            to[word] = of[some[word]]
+        feeds = n_words + len(feed)
         segs = [
-            ((MARK if marks[i] else "") + raw[b[i] : e[i]].decode()) if i < n_words else "\n" if i < n_words + len(feed) else MARK for i in first.tolist()
+            ((MARK if m else "") + raw[p:q].decode()) if i < n_words else "\n" if i < feeds else MARK for i, p, q, m in zip(some.tolist(), bs.tolist(), es.tolist(), ms.tolist())
         ]
         parts = self.encode_segments(segs)
-        width = self.dtype.itemsize
-        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // width
-        flat = np.frombuffer(b"".join(parts), self.dtype)
-        starts = np.cumsum(lens) - lens
+        lens, starts = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        lens[new] = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        starts[new] = len(self.store_ids) + np.cumsum(lens[new]) - lens[new]
+        lens[hit], starts[hit] = self.store_size[at[hit]], self.store_start[at[hit]]
+        flat = np.concatenate([self.store_ids, np.frombuffer(b"".join(parts), self.dtype)])
+        keep = new[lasting[new]]
+        if len(self.store_keys) + len(keep) > self.STORE:
+            self._forget()
+        else:
+            keys = np.concatenate([self.store_keys, unique[keep]])
+            order = np.argsort(keys)
+            self.store_keys, self.store_ids = keys[order], flat
+            self.store_start = np.concatenate([self.store_start, starts[keep]])[order]
+            self.store_size = np.concatenate([self.store_size, lens[keep].astype(np.int32)])[order]
         turn = np.argsort(place, kind="stable")
         which = inverse.ravel()[turn]
         k = lens[which]
@@ -370,6 +406,25 @@ class MergeModel:
 
     # -- decoding
 
+    def gives_back(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each row whether decoding its ids gives its text (UTF-8 bytes end to end) again."""
+        size = self.out_size[ids]
+        ends = np.cumsum(size)
+        total = np.concatenate([[0], ends])[at]  # where a row's decoded bytes begin
+        got = self.out_bytes[np.repeat(self.out_start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        lead = np.zeros(len(at) - 1, np.int64)
+        some = np.flatnonzero(np.diff(total) > 0)
+        lead[some] = got[total[some]] == 32
+        want = np.diff(offsets)
+        same = np.diff(total) - lead == want
+        rows = np.flatnonzero(same & (want > 0))
+        n = want[rows]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        equal = got[np.repeat(total[rows] + lead[rows], n) + step] == data[np.repeat(offsets[rows], n) + step]
+        if len(rows):
+            same[rows] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return same
+
     def decode(self, ids) -> str:
         """Text of ids.  Of white space only the model's own leading mark goes; malformed UTF-8 becomes U+FFFD."""
         out = self.out
