@@ -36,9 +36,15 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, or a staged copy where its rows could come in another order when a lost task runs again (after an exchange)."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stage_table(df, "settled") if "Exchange" in plan else df
+
+
 def with_chunk(docs: DataFrame, n_chunks: int) -> DataFrame:
-    """Adds ``__chunk``: rows spread evenly by id and text, the same on every evaluation."""
-    return docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
+    """Adds ``__chunk``: rows of a ``settled`` table spread evenly by their place in it, so equal rows are spread as well."""
+    return docs.withColumn("__chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_chunks)).cast("int"))
 
 
 # ---------------------------------------------------------------- Arrow

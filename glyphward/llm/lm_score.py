@@ -6,6 +6,9 @@ additively smoothed unigram model, and have the same constants, so that per-toke
 
     p1(w) = (c(w) + ALPHA) / (N + ALPHA * V)        p(w | h) = (c(h, w) + MU * p1(w)) / (c(h) + MU)
 
+A document is scored by what all others say: its own events are subtracted from the counts of each model that it is in (but
+V stays), else it would look the more familiar the shorter the corpus is.  Another row of the same text is another document.
+
 Words are runs of letters, digits and non-ASCII characters, ASCII letters lower-cased.  A document with n words has n + 1
 events, the last being the end mark; the first word's history is a begin mark.
 
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, U64, _BASE, bucket_cuts, hash_tokens, mix, pack_sorted, planes, string_buffers, text_bytes, unpack_sorted, unplanes
+from .common import CHUNK_BYTES, U64, _BASE, bucket_cuts, hash_tokens, mix, pack_sorted, planes, settled, string_buffers, text_bytes, unpack_sorted, unplanes
 
 ALPHA = 0.5
 MU = 5.0
@@ -111,12 +114,12 @@ def _wide(blob: bytes, n: int) -> np.ndarray:
     return unplanes(blob, np.uint64 if n and len(blob) == 8 * n else np.uint32).astype(np.float64)
 
 
-def _score(alpha: float, mu: float):
+def _score(alpha: float, mu: float, leave_out: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         empty = {"doc_id": pa.int64(), "n_events": pa.int64(), "ce_target": pa.float64(), "ce_background": pa.float64(), "ce_diff": pa.float64()}
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in empty.items()})
-        docs, cur, pair, history, at, _ = _events(table)
+        docs, cur, pair, history, at, wanted = _events(table)
         if not docs.num_rows:
             return pa.table({k: pa.array([], t) for k, t in empty.items()})
         order = np.argsort(answers.column("bucket").to_numpy()).tolist()
@@ -124,39 +127,67 @@ def _score(alpha: float, mu: float):
         words, winv = np.unique(cur, return_inverse=True)
         _, pinv = np.unique(pair, return_inverse=True)
         hinv = np.searchsorted(words, history)
+        size = np.diff(at)
+        row = np.repeat(np.arange(len(size)), size)
+        own_p, own_w, own_h, own_n = (np.zeros(len(row)),) * 4
+        if leave_out:
+            _, inv, n = np.unique(row * (int(pinv.max()) + 1) + pinv, return_inverse=True, return_counts=True)
+            own_p = n[inv].astype(float)
+            u, inv, n = np.unique(row * len(words) + winv, return_inverse=True, return_counts=True)
+            own_w, own_h = n[inv].astype(float), n[np.searchsorted(u, row * len(words) + hinv)].astype(float)
+            own_n = size[row].astype(float)
         losses = []
         n_w, n_p = answers.column("n_words").to_pylist(), answers.column("n_pairs").to_pylist()
         for which, total in (("target", n_target), ("all", n_all)):
             w, p = (answers.column(f"{x}_{which}").to_pylist() for x in "wp")
             cw = np.concatenate([_wide(w[i], n_w[i]) for i in order])
             cp = np.concatenate([_wide(p[i], n_p[i]) for i in order])
-            p1 = (cw + alpha) / (total + alpha * v)
-            loss = -np.log((cp[pinv] + mu * p1[winv]) / (cw[hinv] + mu))
-            losses.append(np.add.reduceat(loss, at[:-1]) / np.diff(at))
+            inside = wanted[row] if which == "target" else np.ones(len(row), bool)
+            p1 = (cw[winv] - own_w * inside + alpha) / (total - own_n * inside + alpha * v)
+            loss = -np.log((cp[pinv] - own_p * inside + mu * p1) / (cw[hinv] - own_h * inside + mu))
+            losses.append(np.add.reduceat(loss, at[:-1]) / size)
         t, b = losses
         return pa.table({"doc_id": docs.column("doc_id"), "n_events": pa.array(np.diff(at), pa.int64()), "ce_target": pa.array(t), "ce_background": pa.array(b), "ce_diff": pa.array(t - b)})
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, mu: float = MU, n_chunks: int | None = None) -> DataFrame:
+def _spread(texts: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """Texts and marks (rows of kind 1) of labelled ids, by chunk: a text meets its id's mark.
+
+    Rows of one id share a chunk, but for ids that a thousandth of all rows or more has (so at most 1000 ids): their rows are
+    spread over all chunks, and so are copies of their marks.  Null ids are never labelled and spread like these.
+    """
+    ids = texts.groupBy("doc_id").count().filter("doc_id is not null")
+    rows = texts.count()
+    often = [r["doc_id"] for r in ids.filter(F.col("count") >= max(1000, rows / 1000)).select("doc_id").collect()]
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
+    alone = F.pmod(F.xxhash64("doc_id"), F.lit(n))
+    hot = F.col("doc_id").isin(often) if often else F.lit(False)
+    marks = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).otherwise(F.array(alone))
+    marks = marks.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(1).alias("__kind"), F.explode(every).alias("__chunk")).withColumn("__chunk", F.col("__chunk").cast("int"))
+    texts = texts.select("doc_id", "text", F.lit(0).alias("__kind"), F.when(hot | F.col("doc_id").isNull(), place).otherwise(alone).cast("int").alias("__chunk"))
+    return texts.unionByName(marks).repartition("__chunk")
+
+
+def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, mu: float = MU, n_chunks: int | None = None, leave_out: bool = True) -> DataFrame:
     """doc_id, n_events, ce_target, ce_background (nats per event) and ce_diff, low where a document is like the target.
 
     A null text is no document: it has no row and counts nowhere.  An empty text has one event.  Repeated rows count each
-    time and are scored each time.  A null id is never labelled.  Several labels of one id count once.  With no labelled
-    document the target model is uniform.  Other columns are not read.
+    time and are scored each time.  A null id is never labelled.  Several labels of one id count once.  With no (other)
+    labelled document the target model is uniform.  Other columns are not read.  Without ``leave_out`` a document's own events
+    count too.
     """
-    texts = docs.select("doc_id", "text")
+    texts = settled(docs.select("doc_id", "text"))
     n = n_chunks or max(1, -(-text_bytes(texts) // CHUNK_BYTES))
-    marks = labels.filter("quality = 1").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(1).alias("__kind"))
-    both = texts.withColumn("__kind", F.lit(0)).unionByName(marks)
-    spread = both.withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition("__chunk")
+    spread = _spread(texts, labels, n)
     asked = spread.groupBy("__chunk").applyInArrow(_ask(n), _ASKED).repartition("bucket")
     totals = asked.groupBy("bucket").applyInArrow(_totals, "v long, n_all long, n_target long")
     totals = totals.agg(F.sum("v").alias("v"), F.sum("n_all").alias("total_all"), F.sum("n_target").alias("total_target"))
     answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWERED).crossJoin(F.broadcast(totals))  # one row
     out = "doc_id long, n_events long, ce_target double, ce_background double, ce_diff double"
-    return spread.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(alpha, mu), out)
+    return spread.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(alpha, mu, leave_out), out)
 
 
 def oracle(alpha: float = ALPHA, mu: float = MU, digits: int = 6) -> str:
@@ -176,13 +207,20 @@ WITH d AS (
   SELECT h, first, w, count(*) AS a, count(*) FILTER (wanted) AS t FROM e GROUP BY h, first, w
 ), n AS (
   SELECT sum(a)::DOUBLE AS a, sum(t)::DOUBLE AS t, count(*)::DOUBLE AS v FROM one
+), own AS (
+  SELECT r, w, count(*) AS k FROM e GROUP BY r, w
+), mine AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(wanted)::INT AS inside, h, first, w, count(*) AS k, any_value(size) AS size
+  FROM (SELECT *, count(*) OVER (PARTITION BY r) AS size FROM e) GROUP BY r, h, first, w
 ), loss AS (
-  SELECT two.h, two.first, two.w,
-    -ln((two.t + {mu} * (one.t + {alpha}) / (n.t + {alpha} * n.v)) / (hist.t + {mu})) AS t,
-    -ln((two.a + {mu} * (one.a + {alpha}) / (n.a + {alpha} * n.v)) / (hist.a + {mu})) AS a
-  FROM two JOIN one ON two.w = one.w JOIN one hist ON two.h = hist.w CROSS JOIN n
+  SELECT m.r, m.doc_id, m.k,
+    -ln((two.t - m.k * inside + {mu} * (one.t - ow.k * inside + {alpha}) / (n.t - size * inside + {alpha} * n.v)) / (hist.t - oh.k * inside + {mu})) AS t,
+    -ln((two.a - m.k + {mu} * (one.a - ow.k + {alpha}) / (n.a - size + {alpha} * n.v)) / (hist.a - oh.k + {mu})) AS a
+  FROM mine m JOIN two ON m.h = two.h AND m.first = two.first AND m.w = two.w
+  JOIN one ON m.w = one.w JOIN one hist ON m.h = hist.w
+  JOIN own ow ON ow.r = m.r AND ow.w = m.w JOIN own oh ON oh.r = m.r AND oh.w = m.h CROSS JOIN n
 )
-SELECT e.doc_id, count(*) AS n_events, round(avg(loss.t), {digits}) AS ce_target, round(avg(loss.a), {digits}) AS ce_background,
-  round(avg(loss.t) - avg(loss.a), {digits}) AS ce_diff
-FROM e JOIN loss ON e.h = loss.h AND e.first = loss.first AND e.w = loss.w GROUP BY e.r, e.doc_id
+SELECT doc_id, sum(k)::BIGINT AS n_events, round(sum(k * t) / sum(k), {digits}) AS ce_target, round(sum(k * a) / sum(k), {digits}) AS ce_background,
+  round(sum(k * t) / sum(k) - sum(k * a) / sum(k), {digits}) AS ce_diff
+FROM loss GROUP BY r, doc_id
 """

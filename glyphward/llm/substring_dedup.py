@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import CHUNK_BYTES, U64, bucket_cuts, hash_tokens, mix, pack_sorted, powers, string_buffers, text_bytes, unpack_sorted, with_chunk
+from .common import CHUNK_BYTES, U64, bucket_cuts, hash_tokens, mix, pack_sorted, powers, settled, string_buffers, text_bytes, unpack_sorted, with_chunk
 
 WINDOW = 50
 
@@ -106,7 +106,7 @@ def _repeated(texts: pa.ChunkedArray, answers: pa.Table, window: int):
 
 def _spread(docs: DataFrame, window: int, n_chunks: int | None):
     n = n_chunks or max(1, -(-text_bytes(docs) // CHUNK_BYTES))
-    spread = with_chunk(docs, n).repartition("__chunk")
+    spread = with_chunk(settled(docs), n).repartition("__chunk")
     asked = spread.groupBy("__chunk").applyInArrow(_ask(window, n), "bucket int, chunk int, keys binary, again binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, n int, bits binary")
     return spread.groupBy("__chunk"), answers.groupBy("chunk")
