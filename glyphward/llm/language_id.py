@@ -139,7 +139,7 @@ class Model:
             self.families.setdefault(FAMILY.get(lang, lang), []).append(lang)
         self.names = sorted(self.families)
         scale = 1.0 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(DIMS)
-        z = x * scale
+        z = (x * scale).astype(np.float32)
         family = np.array([FAMILY.get(v, v) for v in labels])
         # of two families one machine says both
         alone = self.names[:1] if len(self.names) == 2 else self.names if len(self.names) > 2 else []
@@ -150,10 +150,9 @@ class Model:
         self.machines = [key for key, _, _ in jobs]
         self.weights = np.zeros((len(jobs), DIMS + 1))
         self.bias = np.zeros(len(jobs))
-        gram = z @ z.T
         for k, (_, rows, yes) in enumerate(jobs):
             at = np.flatnonzero(rows)
-            alpha, self.bias[k] = fit_machine(gram[np.ix_(at, at)], np.where(yes[at], 1.0, -1.0), c)
+            alpha, self.bias[k] = fit_machine((z[at] @ z[at].T).astype(np.float64), np.where(yes[at], 1.0, -1.0), c)
             self.weights[k, :DIMS] = (alpha @ z[at]) * scale
 
     def decide(self, data: np.ndarray, offsets: np.ndarray):
@@ -193,12 +192,17 @@ class Model:
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, c: float = 10.0) -> Model:
-    """Machines from rows with text and lang; rows where either is null are no labels."""
-    known = labelled.filter("lang is not null and text is not null")
+    """Machines from rows with text and lang; rows where either or the id is null are no labels.
+
+    At most ``rows_per_language`` ids of each language take part, each with one text (that of the least hash), whatever the
+    number of rows under an id.  Other columns are not read.
+    """
+    known = labelled.select("doc_id", "lang", "text", F.xxhash64("text").alias("th")).filter("lang is not null and text is not null and doc_id is not null")
+    ids = known.groupBy("lang", "doc_id").agg(F.min("th").alias("th"))  # an id counts once, however often it occurs
     line = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = known.select("lang", "doc_id").filter("doc_id is not null").withColumn("__n", F.row_number().over(line)).filter(F.col("__n") <= rows_per_language)
+    ids = ids.withColumn("n", F.row_number().over(line)).filter(F.col("n") <= rows_per_language).drop("n")
     # at most rows_per_language ids of each language
-    chosen = known.join(F.broadcast(ids.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
+    chosen = known.join(F.broadcast(ids), ["lang", "doc_id", "th"]).groupBy("lang", "doc_id").agg(F.first("text").alias("text"))
     rows = chosen.select("text", "lang").mapInArrow(_sample_features, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     labels = np.array([r["lang"] for r in rows], object)
