@@ -56,12 +56,25 @@ def serialize(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A dictionary; of too few samples to train on, their joined tail as raw content (empty for none)."""
-    samples = [s for s in samples if len(s) >= 8]
-    try:
-        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
-    except (zstandard.ZstdError, ValueError, MemoryError):
-        return b"".join(samples)[-size:]
+    """A dictionary of at most ``size`` bytes; short arrays are joined to samples of 64 bytes, so all take part.
+
+    Where there is too little to train one of that size on, a smaller one is trained; where there is too little for any (under
+    about a KB in all), the arrays themselves are the dictionary's content (empty for none).
+    """
+    whole, held = [], b""
+    for s in samples:
+        held += s
+        if len(held) >= 64:
+            whole.append(held)
+            held = b""
+    if held:
+        whole.append(held)
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, whole, k=64, d=8).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            size //= 2
+    return b"".join(whole)
 
 
 def _content(dictionary: bytes) -> list[bytes]:
