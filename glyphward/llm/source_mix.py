@@ -18,6 +18,9 @@ SCALE = 1_000_000
 WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
 OTHER = 1.0
 SEED = "mix-1"
+#: Ranges of ids at most; a range of a source is summed in one task, so it holds more rows where there are more than
+#: RANGES * rows_per_range.
+RANGES = 4096
 
 
 def _offset(source: Column, seed: str) -> Column:
@@ -42,17 +45,22 @@ def rates(docs: DataFrame, weights: dict[str, float], other: float, seed: str) -
 
 
 def _range_of(docs: DataFrame, rows_per_range: int) -> Column:
-    """Number of an id's range.  Bounds are approximate quantiles of all ids; only balance depends on them.
+    """Number of an id's range.  Bounds are approximate quantiles of all ids, at most RANGES; only balance depends on them.
     A null id stands before all others."""
     n = docs.count()
-    k = max(1, round(n / rows_per_range))
+    k = min(RANGES, max(1, round(n / rows_per_range)))
     if k == 1:
         return F.lit(0)
     q = docs.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.25 / k) or []
     bounds = sorted({int(x) for x in q})
-    # ids are compared as numbers; a search in a sorted constant array is one expression
-    found = F.array_size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(found)
+    if not bounds:
+        return F.lit(0)
+    # searched in two steps: among the first bounds of groups of 64, then in one group
+    some = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    below = lambda array: F.array_size(F.filter(array, lambda b: b <= F.col("doc_id")))
+    group = below(F.lit([g[0] for g in some[1:]]).cast("array<long>")) if len(some) > 1 else F.lit(0)
+    inside = F.element_at(F.array(*[F.lit(g).cast("array<long>") for g in some]), group + 1)
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(group * 64 + below(inside))
 
 
 def mix(
@@ -64,8 +72,8 @@ def mix(
 ) -> DataFrame:
     """Rows of docs, each as often as it is drawn, with ``copy_no`` (1, 2, ...).
 
-    Order within a source is by id, then by a hash of the text, so repeated rows are drawn like any others and equal
-    rows are interchangeable.  A null source is a source of its own; a null id comes first; null and empty texts are drawn
+    Order within a source is by id, then by hashes of the text and of the row written as JSON, so repeated rows are drawn
+    like any others and equal rows are interchangeable.  A null source is a source of its own; a null id comes first; null and empty texts are drawn
     like others.  A source whose texts are all empty or null keeps each row once.  A column of docs named copy_no is
     replaced; names beginning with two underscores are ours.
     """
@@ -75,7 +83,9 @@ def mix(
     spread = base.groupBy("source", "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     start = spread.select(F.col("source").alias("__source"), F.col("__range").alias("__r"), before.alias("__before"))
-    line = W.partitionBy("source", "__range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text", "copy_no")]
+    rest = [F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])))] if others else []
+    line = W.partitionBy("source", "__range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), *rest)
     ranked = base.withColumn("__i", F.row_number().over(line))
     ranked = ranked.join(start, ranked["source"].eqNullSafe(start["__source"]) & (ranked["__range"] == start["__r"])).drop("__source", "__r")
     ranked = ranked.join(per, ranked["source"].eqNullSafe(per["__source"])).drop("__source")

@@ -23,7 +23,7 @@ def brute(rows, weights, other=1.0):
 ROWS = [(i, f"src{i % 4}", "x" * (i % 13)) for i in range(300)] + [(None, "src1", None), (900, None, "abc"), (901, None, ""), (902, "blank", ""), (903, "blank", None)]
 
 
-@pytest.mark.parametrize("per_range", [20_000, 30])
+@pytest.mark.parametrize("per_range", [20_000, 30, 2])
 def test_equals_brute_force(spark, per_range):
     df = spark.createDataFrame(ROWS, "doc_id long, source string, text string")
     weights = {"src0": 3.0, "src1": 0.4}
