@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,16 @@ def parse(source: str) -> Tree:
     tree = Tree()
     tags, parent, texts = tree.tags, tree.parent, tree.texts
     stack = [0]
+    places: dict[str, list[int]] = {}  # of each tag, where it is open in the stack
+
+    def close_from(k: int) -> None:
+        for i in stack[k:]:
+            places[tags[i]].pop()
+        del stack[k:]
+
+    def scope(besides: frozenset | set) -> int:
+        return max((places[t][-1] for t in _SCOPE if t not in besides and places.get(t)), default=0)
+
     at, n = 0, len(source)
     low = None
     find = _TOKEN.search
@@ -70,10 +81,8 @@ def parse(source: str) -> Tree:
             continue
         name = name.lower()
         if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    del stack[k:]
-                    break
+            if places.get(name):
+                close_from(places[name][-1])
             continue
         if name in RAW:
             if low is None:
@@ -89,23 +98,16 @@ def parse(source: str) -> Tree:
             continue
         ends = _ENDS.get(name)
         if ends is not None:
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t in ends:
-                    del stack[k:]
-                elif t in _SCOPE and t not in ends:
-                    break
-        elif name in _P:
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t == "p":
-                    del stack[k:]
-                    break
-                if t in _SCOPE:
-                    break
+            floor = scope(ends)
+            open_ends = [w[bisect_right(w, floor)] for w in (places.get(t) for t in ends) if w and w[-1] > floor]
+            if open_ends:
+                close_from(min(open_ends))
+        elif name in _P and places.get("p") and places["p"][-1] > scope(frozenset()):
+            close_from(places["p"][-1])
         tags.append(name)
         parent.append(stack[-1])
         if name not in VOID and not m.group(3).endswith("/"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(len(tags) - 1)
     return tree
 
