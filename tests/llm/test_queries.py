@@ -27,17 +27,9 @@ def test_pipeline_equals_brute_force(spark):
     got = sorted((r["doc_id"], tuple(r["token_ids"])) for r in corpus_pipeline.run(spark, SF).collect())
     said = {r["doc_id"] for r in language_id.identify(docs, language_id.fit(docs)).collect() if r["accepted"]}
     rows = [(r["doc_id"], r["source"], r["text"]) for r in docs.collect() if r["doc_id"] in said]
-    head = {i: i for i, _, _ in rows}
-
-    def find(i):
-        while head[i] != i:
-            i = head[i]
-        return i
-
-    for a, b, _, _ in similar_brute([(i, t) for i, _, t in rows], jaccard_join.THETA, jaccard_join.N):
-        x, y = sorted((find(a), find(b)))
-        head[y] = x
-    rows = [r for r in rows if find(r[0]) == r[0]]
+    similar = similar_brute([(i, t) for i, _, t in rows], jaccard_join.THETA, jaccard_join.N)
+    first = {i for i, c, _ in similar if i == c}
+    rows = [r for r in rows if r[0] in first]
     cut = {}
     for i, a, b in repeats_brute([(i, t) for i, _, t in rows], substring_dedup.WINDOW):
         cut.setdefault(i, []).append((a, b))
