@@ -12,6 +12,7 @@ from glyphward.functions.letters import latin_letter
 from glyphward.operators import docx_rules, glyphs, html_rules, painter, registry, text_rules
 from glyphward.operators.findings import gate, union
 from glyphward.plans import report
+from glyphward.plans.scratch import staged
 from glyphward.sources import docx, fonts, html, pdf, registry_json
 
 
@@ -52,7 +53,7 @@ def font_rules(kind: str, faces: DataFrame, cmap: DataFrame, own: DataFrame, map
 
 
 def pdf_font_rules(pdfs: DataFrame, to: DataFrame, page_runs: DataFrame, known):
-    faces, cmap, own, outlines, cids = (pdf.read_table(pdfs, k) for k in ("faces", "cmap", "glyphs", "outlines", "cid_gid"))
+    faces, cmap, own, outlines, cids = (pdf.table_of(pdfs, k) for k in ("faces", "cmap", "glyphs", "outlines", "cid_gid"))
     codes = glyphs.tounicode_map(to).join(faces.filter("type0").select("doc_id", "font_ord", "own_cid_map"), ["doc_id", "font_ord"])
     cids = cids.unionByName(glyphs.identity_cid_gid(codes.filter("not own_cid_map")))
     reached = glyphs.type0_mappings(codes, cids, outlines).select("doc_id", "cp", "outline_hash").unionByName(own.select("doc_id", "cp", "outline_hash"))
@@ -69,6 +70,20 @@ def docx_font_rules(files: DataFrame, words: DataFrame, known):
     return union(found, glyphs.unreadable_fonts(faces)), phrases, verdicts
 
 
+def scan_errors(files: DataFrame) -> DataFrame:
+    """doc_id, error of files (doc_id, format, content) that no decoder reads, that can't be read, or not to their end."""
+    unknown = files.filter("format is null").select("doc_id", F.lit("unsupported format").alias("error"))
+    return unknown.unionByName(pdf.read_errors(files.filter("format = 'pdf'"))).unionByName(docx.read_errors(files.filter("format = 'docx'")))
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """doc_id, title, author, created, modified, producer of files that say anything about themselves; dates tidied."""
+    of_pdf = pdf.read_table(files.filter("format = 'pdf'"), "metadata")
+    of_pdf = of_pdf.select("doc_id", "title", "author", *[T.tidy_pdf_date(F.col(c)).alias(c) for c in ("created", "modified")], "producer")
+    of_docx = docx.read_metadata(files.filter("format = 'docx'"))
+    return of_pdf.unionByName(of_docx.select("doc_id", "title", F.col("creator").alias("author"), "created", "modified", F.col("application").alias("producer")))
+
+
 def scan(files: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Findings of files (doc_id, format, content); ``known`` as registry_json.load gives it."""
     return examine(files, known)[0]
@@ -80,8 +95,8 @@ def examine(files: DataFrame, known: tuple[DataFrame, DataFrame] | None = None)
     read = html.read_pages(pages)
     runs = docx.read_runs(files.filter("format = 'docx'")).withColumn("run_ord", F.col("part_ord") * 1_000_000 + F.col("run_ord"))
     words = docx_rules.body_text(runs)
-    pdfs = files.filter("format = 'pdf'")
-    page_runs, regions, media, pdf_fonts, to = (pdf.read_table(pdfs, k) for k in ("runs", "regions", "media", "fonts", "tounicode"))
+    pdfs = staged(pdf.decode(files.filter("format = 'pdf'")), "pdf")
+    page_runs, regions, media, pdf_fonts, to = (pdf.table_of(pdfs, k) for k in ("runs", "regions", "media", "fonts", "tounicode"))
     tallies = painter.page_tallies(painter.with_background(page_runs, regions, media), painter.image_coverage(regions.filter("is_image"), media), media)
     in_pdf, pdf_phrases, pdf_verdicts = pdf_font_rules(pdfs, to, page_runs, known)
     in_docx, docx_phrases, docx_verdicts = docx_font_rules(files.filter("format = 'docx'"), words, known)
@@ -123,8 +138,7 @@ def main(argv: list[str] | None = None) -> int:
     found = found.persist()
     table = report.reports(files.filter("format is not null"), found, phrases, verdicts)
     print(report.as_text(table) if args.format_out == "human" else "\n".join(r["report"] for r in report.as_json(table).toLocalIterator()))
-    errors = pdf.read_errors(files.filter("format = 'pdf'")).unionByName(docx.read_errors(files.filter("format = 'docx'")))
-    for r in errors.join(files.select("doc_id", "path"), "doc_id").toLocalIterator():
+    for r in scan_errors(files).join(files.select("doc_id", "path"), "doc_id").toLocalIterator():
         print(f"not read whole: {r['path']}: {r['error']}", file=sys.stderr)
     return int(gate(found).first()["exit_code"])
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -23,3 +24,10 @@ def scratch_dir(spark: SparkSession) -> str:
         _local.append(tempfile.mkdtemp(prefix="glyphward-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
     return "file://" + _local[0]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, and safe from lost executors."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -245,6 +245,29 @@ def read_faces(files: DataFrame, kind: str) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(run, schema)
 
 
+METADATA = "doc_id long, title string, subject string, creator string, keywords string, last_modified_by string, created string, modified string, application string, company string"
+_META = ("title", "subject", "creator", "keywords", "lastModifiedBy", "created", "modified", "Application", "Company")
+
+
+def read_metadata(files: DataFrame) -> DataFrame:
+    """METADATA of files (doc_id, content) that say anything about themselves; one that says nothing has no row."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    meta = read_package(blob or b"")["metadata"]
+                except (zipfile.BadZipFile, expat.ExpatError, KeyError, ValueError):
+                    continue
+                if any(meta.get(k) is not None for k in _META):
+                    rows.append((doc, *(meta.get(k) for k in _META)))
+            fields = [f.split() for f in METADATA.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+    return files.select("doc_id", "content").mapInArrow(run, METADATA)
+
+
 def read_errors(files: DataFrame) -> DataFrame:
     """doc_id, error of files that can't be read."""
 
@@ -265,8 +288,9 @@ def read_errors(files: DataFrame) -> DataFrame:
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
-def write_package(runs: list[dict]) -> bytes:
-    """A minimal package of runs (para_ord, text, color, sz, highlight, shd_fill, n_vanish), as fixtures need."""
+def write_package(runs: list[dict], fonts: list[tuple[str, str, bytes]] = (), core: dict[str, str] | None = None) -> bytes:
+    """A minimal package of runs (para_ord, text, color, sz, highlight, shd_fill, n_vanish), of embedded fonts (family, key,
+    program, obfuscated by a key that is not empty) and of core properties, as fixtures need."""
     from xml.sax.saxutils import escape, quoteattr
 
     body, para = [], None
@@ -283,4 +307,14 @@ def write_package(runs: list[dict]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("word/document.xml", xml)
+        if fonts:
+            names = [f"<w:font w:name={quoteattr(f)}><w:embedRegular r:id=\"i{k}\" w:fontKey={quoteattr(key)}/></w:font>" for k, (f, key, _) in enumerate(fonts)]
+            z.writestr("word/fontTable.xml", f'<w:fonts {_W} xmlns:r="r">{"".join(names)}</w:fonts>')
+            links = [f'<Relationship Id="i{k}" Target="fonts/f{k}.odttf"/>' for k in range(len(fonts))]
+            z.writestr("word/_rels/fontTable.xml.rels", f"<Relationships>{''.join(links)}</Relationships>")
+            for k, (_, key, data) in enumerate(fonts):
+                z.writestr(f"word/fonts/f{k}.odttf", deobfuscate(data, key) if key else data)
+        if core:
+            fields = "".join(f"<dc:{k}>{escape(v)}</dc:{k}>" for k, v in core.items())
+            z.writestr("docProps/core.xml", f'<cp:coreProperties xmlns:cp="c" xmlns:dc="d">{fields}</cp:coreProperties>')
     return out.getvalue()

@@ -14,7 +14,7 @@ import zlib
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .fonts import letter_glyphs, parse_faces
 
@@ -581,6 +581,11 @@ def _rows(kind: str, doc: int, got: dict):
     elif kind == "fonts":
         for f in got["fonts"]:
             yield {"doc_id": doc, **f}
+    elif kind == "metadata":
+        m = got["metadata"]
+        values = [m[k] for k in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")]
+        if any(v is not None for v in values):
+            yield {"doc_id": doc} | dict(zip([f.split()[0] for f in METADATA.split(", ")][1:], [*values, m["version"]]))
     elif kind == "tounicode":
         for f in got["fonts"]:
             for e in f["tounicode"]:
@@ -602,38 +607,58 @@ def _rows(kind: str, doc: int, got: dict):
                     yield from (key | {"gid": g, "outline_hash": h} for g in range(face["num_glyphs"]) if (h := face["hash_of"](g)) is not None)
 
 
-def read_table(files: DataFrame, kind: str) -> DataFrame:
-    """One of the tables runs, regions, media, fonts, tounicode, and of embedded TrueType programs faces, glyphs, cmap, outlines,
-    cid_gid, of files (doc_id, content); unreadable files have no rows."""
-    schema = {"runs": RUNS, "regions": REGIONS, "media": MEDIA, "fonts": FONTS, "tounicode": TOUNICODE, "faces": FACES, "glyphs": GLYPHS, "cmap": CMAP, "outlines": OUTLINES, "cid_gid": CID_GID}[kind]
-    fields = [f.split() for f in schema.split(", ")]
+METADATA = "doc_id long, title string, author string, subject string, keywords string, creator string, producer string, created string, modified string, version string"
+ERRORS = "doc_id long, error string"
+TABLES = {
+    "runs": RUNS, "regions": REGIONS, "media": MEDIA, "fonts": FONTS, "tounicode": TOUNICODE, "faces": FACES, "glyphs": GLYPHS, "cmap": CMAP,
+    "outlines": OUTLINES, "cid_gid": CID_GID, "metadata": METADATA, "errors": ERRORS,
+}
+#: All columns of all tables; a column has one type everywhere.
+_ALL = {n: t for schema in TABLES.values() for n, t in (f.split() for f in schema.split(", "))}
+
+
+def _file_rows(kinds: list[str], doc: int, blob: bytes):
+    """(kind, row) of a file; one that can't be read has an error row alone."""
+    try:
+        got = read_file(blob)
+        found = [(k, r) for k in kinds if k != "errors" for r in _rows(k, doc, got)]
+        errors = got["errors"]
+    except (ValueError, IndexError, RecursionError, struct.error) as e:
+        found, errors = [], [f"{type(e).__name__}: {e}"]
+    yield from found
+    if "errors" in kinds:
+        yield from (("errors", {"doc_id": doc, "error": e}) for e in errors)
+
+
+def decode(files: DataFrame, kinds: tuple[str, ...] = tuple(TABLES)) -> DataFrame:
+    """The rows of all these tables of files (doc_id, content), told apart by ``kind``: each file is parsed once."""
+    fields = {n: t for k in kinds for n, t in (f.split() for f in TABLES[k].split(", "))}
 
     def run(batches):
         for batch in batches:
-            rows = []
             for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
-                try:
-                    rows += _rows(kind, doc, read_file(blob or b""))
-                except (ValueError, IndexError, RecursionError, struct.error):
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], names=[n for n, _ in fields])
+                rows = list(_file_rows(list(kinds), doc, blob or b""))
+                if rows:
+                    cols = [pa.array([k for k, _ in rows], pa.string())] + [pa.array([r.get(n) for _, r in rows], _ARROW[t]) for n, t in fields.items()]
+                    yield pa.RecordBatch.from_arrays(cols, names=["kind", *fields])
+
+    return files.select("doc_id", "content").mapInArrow(run, "kind string, " + ", ".join(f"{n} {t}" for n, t in fields.items()))
 
-    return files.select("doc_id", "content").mapInArrow(run, schema)
+
+def table_of(decoded: DataFrame, kind: str) -> DataFrame:
+    """One of TABLES, of what ``decode`` gives."""
+    return decoded.filter(F.col("kind") == kind).select(*[f.split()[0] for f in TABLES[kind].split(", ")])
+
+
+def read_table(files: DataFrame, kind: str) -> DataFrame:
+    """One of TABLES of files (doc_id, content); for several tables ``decode`` parses each file once.
+
+    runs, regions, media, fonts, tounicode; of embedded TrueType programs faces, glyphs, cmap, outlines, cid_gid; metadata of
+    files that say anything about themselves; errors of files that can't be read (which have no other rows), and of streams
+    that can't be decoded to their end."""
+    return table_of(decode(files, (kind,)), kind)
 
 
 def read_errors(files: DataFrame) -> DataFrame:
     """doc_id, error of files that can't be read, and of files with streams that can't be decoded to their end."""
-
-    def run(batches):
-        for batch in batches:
-            docs, errors = [], []
-            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
-                try:
-                    found = read_file(blob or b"")["errors"]
-                except (ValueError, IndexError, RecursionError, struct.error) as e:
-                    found = [f"{type(e).__name__}: {e}"]
-                docs += [doc] * len(found)
-                errors += found
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(errors, pa.string())], names=["doc_id", "error"])
-
-    return files.select("doc_id", "content").mapInArrow(run, "doc_id long, error string")
+    return read_table(files, "errors")

@@ -1,5 +1,4 @@
 import glob
-import struct
 import zipfile
 import zlib
 
@@ -8,6 +7,7 @@ import pytest
 from glyphward import cli
 from glyphward.operators import docx_rules
 from glyphward.sources import docx, fonts, html, pdf, registry_json
+from glyphward.sources.synthetic import write_font
 
 FONT = next(iter(sorted(glob.glob("/usr/share/fonts/**/*.ttf", recursive=True))), None)
 
@@ -96,24 +96,8 @@ def test_scan_of_all_formats(spark, tmp_path):
     assert [r["format"] for r in files.orderBy("path").collect()] == ["pdf", "docx", "html", None]
 
 
-def tiny_font(drawn: dict[str, str]) -> bytes:
-    """A TrueType face whose letters (keys) show the outlines of letters (values)."""
-    names = sorted(set(drawn.values()))
-    points = [struct.pack(">5hHH3B6h", 1, 0, 0, 900, 900, 2, 0, 1, 1, 1, 0, ord(c), 7, 0, 5, ord(c)) + b"\0" for c in names]
-    loca = struct.pack(f">{len(points) + 2}I", 0, *(sum(map(len, points[:k])) for k in range(len(points) + 1)))
-    pairs = b"".join(struct.pack(">III", ord(c), ord(c), 1 + names.index(d)) for c, d in sorted(drawn.items()))
-    cmap = struct.pack(">HHHHI", 0, 1, 3, 10, 12) + struct.pack(">HHIII", 12, 0, 16 + len(pairs), 0, len(drawn)) + pairs
-    name = struct.pack(">9H", 0, 1, 18, 3, 1, 0, 1, 8, 0) + "Tiny".encode("utf-16-be")
-    tables = {b"cmap": cmap, b"glyf": b"".join(points), b"head": bytes(50) + b"\0\1\0\0", b"loca": loca, b"maxp": struct.pack(">IH", 0x10000, len(names) + 1), b"name": name}
-    at, head, body = 12 + 16 * len(tables), b"", b""
-    for tag, t in tables.items():
-        head += struct.pack(">4sIII", tag, 0, at + len(body), len(t))
-        body += t
-    return b"\0\1\0\0" + struct.pack(">4H", len(tables), 0, 0, 0) + head + body
-
-
 def test_scan_finds_forged_fonts(spark, tmp_path):
-    forged, honest = tiny_font({"a": "a", "b": "b", "d": "b"}), tiny_font({"a": "a", "b": "b", "d": "d"})
+    forged, honest = write_font({"a": "a", "b": "b", "d": "b"}), write_font({"a": "a", "b": "b", "d": "d"})
     (tmp_path / "in").mkdir()
     font = b"<</Type/Font/BaseFont/T/FontDescriptor 9 0 R>>"
     objects = b"8 0 obj " + font + b" endobj\n9 0 obj <</FontFile2 10 0 R>> endobj\n10 0 obj <</Length %d>> stream\n" % len(forged) + forged + b"\nendstream endobj\n"
