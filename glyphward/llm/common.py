@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
 
 import numpy as np
@@ -78,6 +80,42 @@ def slices(offsets: np.ndarray, limit: int):
         i = min(j, n)
 
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not every C library has it
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker lives on and its executor's memory is counted with it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run):
+    """``run`` (of a group, of two groups, or of batches), giving back memory at its end."""
+    if inspect.isgeneratorfunction(run):
+
+        def batches(some):
+            yield from run(some)
+            give_back()
+
+        return batches
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return one if len(inspect.signature(run).parameters) == 1 else two
+
+
 # ---------------------------------------------------------------- hashing
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, powers, slices, stage_table, string_buffers, text_bytes, unpack_sorted, unplanes
+from .common import U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, powers, slices, stage_table, string_buffers, text_bytes, tidy, unpack_sorted, unplanes
 from .components import components
 
 #: Below the near copies that the tables hold: a replaced word costs two bigrams, so with a share f replaced the similarity
@@ -52,7 +52,7 @@ CROWD = 128
 #: Bytes of text that one call verifies, on average.
 BIN_BYTES = 4 << 20
 #: Bytes of text whose index entries one bucket holds.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: The space of sets that are indexed by single n-grams.
 FINEST = -1
 _STEP = 1 << 20
@@ -119,7 +119,7 @@ def word_bits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                     [pa.array(u.view(np.int64)), pa.array(n, pa.int64()), pa.array([0] * (len(u) - 1) + [j - i], pa.int64())], names=["h", "n", "docs"]
                 )
 
-    found = docs.select("text").mapInArrow(run, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = docs.select("text").mapInArrow(tidy(run), "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     found = stage_table(found, "words")
     total = found.filter("h = 0").first()
     if total is None or not total["n"]:
@@ -453,8 +453,8 @@ def candidate_components(docs: DataFrame, n_bytes: int, theta: float = THETA, n:
     for band in range(len(plan.his)):
         plan.scheme(band)
     n_buckets = max(1, n_bytes // BUCKET_BYTES)
-    blobs = docs.select("text").mapInArrow(_index(plan, n, n_buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOB))
-    met = blobs.groupBy("bucket").applyInArrow(_meet(hot, theta), "hot boolean, a long, b long, space int, agreed int, floor_a int, floor_b int")
+    blobs = docs.select("text").mapInArrow(tidy(_index(plan, n, n_buckets)), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOB))
+    met = blobs.groupBy("bucket").applyInArrow(tidy(_meet(hot, theta)), "hot boolean, a long, b long, space int, agreed int, floor_a int, floor_b int")
     met = stage_table(met, "agreements")
     again, loss, stars = _crowded(met, theta, most)
     loss = stage_table(loss, "losses")
@@ -481,9 +481,9 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
     """(i, j, intersection) of all pairs i < j of sorted sets that reach theta; with ``across``, only i < across <= j."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    _, token, df = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    token = token.astype(np.int32)
     shared = df[token] > 1
     _, column = np.unique(token[shared], return_inverse=True)
     row = owner[shared]
@@ -504,10 +504,10 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
         got = inter[i, j].astype(np.int64)
     else:
         # rarest first; partners share one of the first |s| - ceil(theta |s|) + 1
-        rank = np.empty(len(df), np.int64)
-        rank[np.lexsort((np.arange(len(df)), df))] = np.arange(len(df))
+        rank = np.empty(len(df), np.int32)
+        rank[np.argsort(df, kind="stable")] = np.arange(len(df))
         r = rank[token]
-        order = np.lexsort((r, owner))
+        order = np.argsort(owner.astype(np.int64) * len(df) + r)
         r, o = r[order], owner[order]
         begin = np.cumsum(sizes) - sizes
         place = np.arange(len(r)) - begin[o]
@@ -537,13 +537,17 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
         i, j = i[keep], j[keep]
         table = np.sort(o.astype(np.int64) * len(df) + r)
         got = np.zeros(len(i), np.int64)
-        for p in range(0, len(i), 4096):
-            a, b = i[p : p + 4096], j[p : p + 4096]
+        total = np.concatenate([[0], np.cumsum(sizes[i])])
+        p = 0
+        while p < len(i):  # about a million n-grams at once
+            q = max(p + 1, int(np.searchsorted(total, total[p] + _STEP, "right")) - 1)
+            a, b = i[p:q], j[p:q]
             k = sizes[a]
             pair = np.repeat(np.arange(len(a)), k)
-            want = r[np.repeat(begin[a], k) + np.arange(len(pair)) - np.repeat(np.cumsum(k) - k, k)] + b[pair] * len(df)
+            want = r[np.repeat(begin[a] - (np.cumsum(k) - k), k) + np.arange(len(pair))] + b[pair] * np.int64(len(df))
             found = table[np.minimum(np.searchsorted(table, want), len(table) - 1)] == want
-            got[p : p + 4096] = np.bincount(pair, found, len(a))
+            got[p:q] = np.bincount(pair, found, len(a))
+            p = q
     union = sizes[i] + sizes[j] - got
     keep = got >= theta * union - 1e-9
     if across is not None:
@@ -581,14 +585,17 @@ def _verify(theta: float, n: int):
         bounds = np.flatnonzero(np.diff(np.concatenate([[-1], which, [which.max() + 1]]))).tolist() if len(which) else []
         held = np.concatenate([[0], np.cumsum(pc.binary_length(table.column("text")).fill_null(0).to_numpy().astype(np.int64))])
         out = [[np.zeros(0, np.int64)] for _ in range(3)]
-        base = end = 0
+        sets: list[np.ndarray] = []  # of the rows so far
         for s, e in zip(bounds, bounds[1:]):
-            if e > end:  # the n-grams of this part and of some more, up to a few MB
-                base, end = s, max(e, bounds[int(np.searchsorted(held[bounds], held[s] + _STEP, "right")) - 1])
+            while len(sets) < e:  # n-grams of some MB of text at once
+                base = len(sets)
+                end = max(base + 1, int(np.searchsorted(held, held[base] + _STEP, "right")) - 1)
                 g, off = ngram_sets(table.column("text").slice(base, end - base), n)[:2]
+                sets += [g[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
             p, q = where[s, 1], where[s, 2]
-            across = None if p == q else int(np.searchsorted(block[s:e], p, "right") if p < q else 0)
-            i, j, _, _ = _overlaps([g[off[r - base] : off[r + 1 - base]] for r in range(s, e)], theta, across)
+            across = None if p == q else int(np.searchsorted(block[s:e], p, "right"))
+            i, j, _, _ = _overlaps(sets[s:e], theta, across)
+            sets[s:e] = [None] * (e - s)
             if len(i):
                 links = np.bincount(i, copies[s:e][j], e - s) + np.bincount(j, copies[s:e][i], e - s)
                 some = np.flatnonzero(links)
@@ -613,7 +620,7 @@ def _members(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), part.column("th"), pa.array(text_keys(h, tok)), pa.array(np.diff(tok), pa.int64())], names=["doc_id", "th", "node", "words"]
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, node long, words long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(tidy(run), "doc_id long, th long, node long, words long")
 
 
 def _one_text_each(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
@@ -644,7 +651,7 @@ def groups(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, bl
     each = each.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "blocks")
     bins = max(1, n_bytes // BIN_BYTES)
     spot = F.pmod(F.xxhash64("component", "p", "q"), F.lit(bins))
-    found = stage_table(each.groupBy(spot.alias("bin")).applyInArrow(_verify(theta, n), "node long, links long, to long"), "found")
+    found = stage_table(each.groupBy(spot.alias("bin")).applyInArrow(tidy(_verify(theta, n)), "node long, links long, to long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     of = nodes.join(links, "node", "left").join(tied, "node", "left").filter("copies > 1 or links > 0")

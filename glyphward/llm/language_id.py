@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import slices, string_buffers
+from .common import slices, string_buffers, tidy
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model, min_margin: float = MIN_MARGIN) -> D
                     names=["doc_id", "family", "predicted", "margin", "accepted"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, family string, predicted string, margin double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, family string, predicted string, margin double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, model: Model, min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -249,4 +249,4 @@ def keep_accepted(docs: DataFrame, model: Model, min_margin: float = MIN_MARGIN)
                 ok += [m is not None and m >= min_margin for m in margin]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, U64, _BASE, bucket_cuts, hash_tokens, mix, pack_sorted, planes, settled, string_buffers, text_bytes, unpack_sorted, unplanes
+from .common import CHUNK_BYTES, U64, _BASE, bucket_cuts, hash_tokens, mix, pack_sorted, planes, settled, string_buffers, text_bytes, tidy, unpack_sorted, unplanes
 
 ALPHA = 0.5
 MU = 5.0
@@ -182,12 +182,12 @@ def score(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, mu: float =
     texts = settled(docs.select("doc_id", "text"))
     n = n_chunks or max(1, -(-text_bytes(texts) // CHUNK_BYTES))
     spread = _spread(texts, labels, n)
-    asked = spread.groupBy("__chunk").applyInArrow(_ask(n), _ASKED).repartition("bucket")
+    asked = spread.groupBy("__chunk").applyInArrow(tidy(_ask(n)), _ASKED).repartition("bucket")
     totals = asked.groupBy("bucket").applyInArrow(_totals, "v long, n_all long, n_target long")
     totals = totals.agg(F.sum("v").alias("v"), F.sum("n_all").alias("total_all"), F.sum("n_target").alias("total_target"))
-    answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWERED).crossJoin(F.broadcast(totals))  # one row
+    answers = asked.groupBy("bucket").applyInArrow(tidy(_answer), _ANSWERED).crossJoin(F.broadcast(totals))  # one row
     out = "doc_id long, n_events long, ce_target double, ce_background double, ce_diff double"
-    return spread.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(alpha, mu, leave_out), out)
+    return spread.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(_score(alpha, mu, leave_out)), out)
 
 
 def oracle(alpha: float = ALPHA, mu: float = MU, digits: int = 6) -> str:

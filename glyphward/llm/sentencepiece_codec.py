@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import model_of
-from .common import slices, string_buffers
+from .common import slices, string_buffers, tidy
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that are encoded in one call.
@@ -64,7 +64,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                     names=["doc_id", "n_tokens", "token_ids", "exact"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, token_ids array<int>, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens int, token_ids array<int>, exact boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:

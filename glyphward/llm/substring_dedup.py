@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import CHUNK_BYTES, U64, bucket_cuts, hash_tokens, mix, pack_sorted, powers, settled, string_buffers, text_bytes, unpack_sorted, with_chunk
+from .common import CHUNK_BYTES, U64, bucket_cuts, hash_tokens, mix, pack_sorted, powers, settled, string_buffers, text_bytes, tidy, unpack_sorted, with_chunk
 
 WINDOW = 50
 
@@ -107,8 +107,8 @@ def _repeated(texts: pa.ChunkedArray, answers: pa.Table, window: int):
 def _spread(docs: DataFrame, window: int, n_chunks: int | None):
     n = n_chunks or max(1, -(-text_bytes(docs) // CHUNK_BYTES))
     spread = with_chunk(settled(docs), n).repartition("__chunk")
-    asked = spread.groupBy("__chunk").applyInArrow(_ask(window, n), "bucket int, chunk int, keys binary, again binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, n int, bits binary")
+    asked = spread.groupBy("__chunk").applyInArrow(tidy(_ask(window, n)), "bucket int, chunk int, keys binary, again binary")
+    answers = asked.groupBy("bucket").applyInArrow(tidy(_answer), "chunk int, bucket int, n int, bits binary")
     return spread.groupBy("__chunk"), answers.groupBy("chunk")
 
 
@@ -128,7 +128,7 @@ def intervals(docs: DataFrame, window: int = WINDOW, n_chunks: int | None = None
         return pa.table({"doc_id": ids, "start_token": pa.array(b, pa.int64()), "end_token": pa.array(e, pa.int64())})
 
     left, right = _spread(docs.select("doc_id", "text"), window, n_chunks)
-    return left.cogroup(right).applyInArrow(run, "doc_id long, start_token long, end_token long")
+    return left.cogroup(right).applyInArrow(tidy(run), "doc_id long, start_token long, end_token long")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, n_chunks: int | None = None) -> DataFrame:
@@ -166,7 +166,7 @@ def remove(docs: DataFrame, window: int = WINDOW, n_chunks: int | None = None) -
         return chunk.select(names)
 
     left, right = _spread(docs, window, n_chunks)
-    return left.cogroup(right).applyInArrow(run, schema)
+    return left.cogroup(right).applyInArrow(tidy(run), schema)
 
 
 def oracle(window: int = WINDOW) -> str:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import model_of
-from .common import stage_table
+from .common import stage_table, tidy
 from .sentencepiece_codec import DEFAULT_MODEL, encoded_slices, load_model
 
 DICT_BYTES = 32 << 10
@@ -52,7 +52,7 @@ def serialize(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                     names=["doc_id", "n_tokens", "raw"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, raw binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens int, raw binary")
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
