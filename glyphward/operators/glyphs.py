@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from glyphward.functions import text as T, unicode as U
 from glyphward.functions.letters import latin_letter, legit_table
-from glyphward.schema import DEFAULTS, Thresholds
+from glyphward.schema import DEFAULTS, FINDING_COLUMNS, Thresholds
 
-from .findings import as_findings, union
+from .findings import as_findings, finding_columns
 
 
 def type0_mappings(tounicode: DataFrame, cid_gid: DataFrame, outlines: DataFrame) -> DataFrame:
@@ -65,12 +65,17 @@ def replacement_findings(pairs: DataFrame, kind: str = "PDF", t: Thresholds = DE
     """GLYPH_SEMANTIC_REPLACEMENT per pair; of a PDF whose pairs are a uniform shift one FONT_ENCODING_ARTIFACT instead."""
     if kind != "PDF":
         return as_findings(pairs, f"{kind}.GLYPH_SEMANTIC_REPLACEMENT", F.col("n"), F.concat("lie", F.lit("→"), "truth"))
-    shifted = uniform_shift(pairs, t)
-    lies = pairs.join(shifted, "doc_id", "left_anti")
-    return union(
-        as_findings(lies, "PDF.GLYPH_SEMANTIC_REPLACEMENT", F.col("n"), F.concat("lie", F.lit("→"), "truth")),
-        as_findings(shifted, "PDF.FONT_ENCODING_ARTIFACT", F.col("n"), F.col("shift").cast("string")),
-    )
+    # both rules in one pass: what uniform_shift aggregates, as windows over the pairs
+    ascii_pair = F.col("truth").rlike("^[a-z]$") & F.col("lie").rlike("^[a-z]$")
+    doc, by_shift = W.partitionBy("doc_id"), W.partitionBy("doc_id", "shift")
+    seen = pairs.withColumn("shift", F.when(ascii_pair, F.ascii("truth") - F.ascii("lie")))
+    seen = seen.withColumn("k", F.count("shift").over(by_shift)).withColumn("total", F.count("shift").over(doc))
+    seen = seen.withColumn("best", F.max(F.when(F.col("shift").isNotNull(), F.struct("k", (-F.col("shift")).alias("o")))).over(doc))
+    shifted = F.coalesce((F.col("best.o") != 0) & (F.col("best.k") >= t.shift_count) & (F.col("best.k") >= t.shift_share * F.col("total")), F.lit(False))
+    seen = seen.withColumn("shifted", shifted).withColumn("row", F.row_number().over(doc.orderBy("truth", "lie"))).filter("not shifted or row = 1")
+    lie = finding_columns("PDF.GLYPH_SEMANTIC_REPLACEMENT", F.col("n"), F.concat("lie", F.lit("→"), "truth"))
+    code = finding_columns("PDF.FONT_ENCODING_ARTIFACT", F.col("best.k"), (-F.col("best.o")).cast("string"))
+    return seen.select("doc_id", *[F.when(F.col("shifted"), y).otherwise(x).alias(name) for x, y, name in zip(lie, code, FINDING_COLUMNS[1:])])
 
 
 def garbled_tounicode(entries: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:

@@ -19,6 +19,11 @@ def page_divergence(pairs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return p.select("doc_id", "page", "similarity", ((F.size("v") >= t.divergence_words) & (F.col("similarity") < t.divergence)).alias("diverges"))
 
 
+def mean_similarity(pages: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """doc_id, similarity (mean over pages), diverges (any page) of ``page_divergence``, as ``verdicts`` takes them."""
+    return pages.groupBy("doc_id").agg(F.avg("similarity").alias("similarity"), F.bool_or("diverges").alias("diverges"))
+
+
 def missing(pairs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """doc_id, page, words: words extracted that the reader didn't see, of pages that have any."""
     return pairs.select("doc_id", "page", T.missing_words(F.col("extracted"), F.col("visual"), t.missing_words).alias("words")).filter(F.size("words") > 0)
@@ -34,7 +39,8 @@ def hidden_confirmed(pairs: DataFrame, suspects: DataFrame, kind: str = "PDF", t
 
 def substitutions(pairs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """doc_id, page, e, v: words replaced by clearly different ones."""
-    found = pairs.select("doc_id", "page", F.explode(word_mismatches("extracted", "visual")).alias("p")).select("doc_id", "page", "p.e", "p.v")
+    apart = pairs.filter(~F.col("extracted").eqNullSafe(F.col("visual")))  # equal texts have none
+    found = apart.select("doc_id", "page", F.explode(word_mismatches("extracted", "visual")).alias("p")).select("doc_id", "page", "p.e", "p.v")
     return found.filter(T.is_real_substitution(F.col("e"), F.col("v"), t.substitution))
 
 

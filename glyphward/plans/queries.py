@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphward.functions import text as T
 from glyphward.functions.letters import latin_letter
-from glyphward.operators import docx_rules, findings, glyphs, html_rules, painter, registry, text_rules, visual
+from glyphward.operators import docx_rules, findings, glyphs, html_rules, ocr, painter, registry, text_rules, visual
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,16 +64,6 @@ def text_hygiene(spark, sf_dir):
     return text_rules.hygiene(tampered_texts(spark, sf_dir)).select(*_SHORT)
 
 
-@query(
-    f"""WITH {_TEXTS}, per AS (SELECT doc_id, max(severity_rank) AS m, count(*) AS n FROM text_findings GROUP BY 1)
-SELECT d.doc_id, coalesce(m < 3, true) AS ok, false AS defaced, false AS hidden_text, CASE m WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' END AS max_severity, coalesce(n, 0)::BIGINT AS n_findings
-FROM documents d LEFT JOIN per USING (doc_id)"""
-)
-def assess_documents(spark, sf_dir):
-    units = tampered_texts(spark, sf_dir)
-    return findings.assess(table(spark, sf_dir, "documents"), text_rules.hygiene(units))
-
-
 @query(
     r"""SELECT letter, count(*)::BIGINT AS n FROM (SELECT lower(unnest(string_split(text, ''))) AS letter FROM documents)
 WHERE regexp_matches(letter, '^\p{Latin}$') AND regexp_matches(letter, '^\pL$') GROUP BY 1"""
@@ -245,6 +235,41 @@ def glyph_replacement(spark, sf_dir):
     return glyphs.replacement_findings(_pairs(spark, sf_dir)).select(*_SHORT, "sample")
 
 
+def tampered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as one run, white or tiny in some documents."""
+    d = F.col("doc_id")
+    white, small = F.when(d % 23 == 0, "FFFFFF").otherwise("000000"), F.when(d % 29 == 0, 7).otherwise(22)
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(
+        d, F.lit(0).alias("run_ord"), "text", white.alias("color"), small.alias("sz"), none.alias("highlight"), none.alias("shd_fill"), F.when(d % 31 == 0, 1).otherwise(0).alias("n_vanish")
+    )
+
+
+@query(
+    rf"""WITH {_TEXTS}, {_PAIRS}, run AS (
+  SELECT doc_id, length(regexp_replace(text, '[\s\p{{Z}}]', '', 'g')) AS chars FROM documents
+), every AS (
+  SELECT doc_id, severity_rank, category FROM text_findings
+  UNION ALL SELECT doc_id, 3, 'FontIntegrity' FROM pair WHERE doc_id NOT IN (SELECT doc_id FROM shifted)
+  UNION ALL SELECT doc_id, 0, 'Structural' FROM shifted
+  UNION ALL SELECT doc_id, 3, 'HiddenContent' FROM run WHERE doc_id % 23 = 0 AND chars >= 4
+  UNION ALL SELECT doc_id, 3, 'HiddenContent' FROM run WHERE doc_id % 29 = 0 AND chars >= 4
+  UNION ALL SELECT doc_id, 2, 'HiddenContent' FROM run WHERE doc_id % 31 = 0
+), per AS (
+  SELECT doc_id, max(severity_rank) AS m, count(*) AS n, bool_or(category = 'FontIntegrity' AND severity_rank >= 3) AS f, bool_or(category = 'HiddenContent' AND severity_rank >= 2) AS h
+  FROM every GROUP BY 1)
+SELECT d.doc_id, coalesce(m < 3, true) AS ok, coalesce(f, false) AS defaced, coalesce(h, false) AS hidden_text,
+  CASE m WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' WHEN 0 THEN 'Info' END AS max_severity, coalesce(n, 0)::BIGINT AS n_findings
+FROM documents d LEFT JOIN per USING (doc_id)"""
+)
+def assess_documents(spark, sf_dir):
+    """Texts, glyph mappings and runs of every document, judged together."""
+    found = findings.union(
+        text_rules.hygiene(tampered_texts(spark, sf_dir)), glyphs.replacement_findings(_pairs(spark, sf_dir)), docx_rules.run_findings(tampered_runs(spark, sf_dir))
+    )
+    return findings.assess(table(spark, sf_dir, "documents"), found)
+
+
 _REGISTRY = """face AS (SELECT source AS family, row_number() OVER (ORDER BY source) AS face_ord FROM (SELECT DISTINCT source FROM documents)),
 alphabet AS (SELECT unnest(range(97, 123)) AS cp), outline AS (SELECT face_ord, family, cp, cp * 31 AS h FROM face CROSS JOIN alphabet),
 claim AS (SELECT doc_id, source AS family, ascii(letter) AS claimed_cp, CASE WHEN doc_id % 17 = 0 AND letter = 'd' THEN ascii('m') ELSE ascii(letter) END * 31 AS h FROM letter),
@@ -554,3 +579,79 @@ def metadata_dates(spark, sf_dir):
     month = d % 12 + 1
     raw = F.when(d % 4 == 0, F.format_string("D:2024%02d15103005+01", month)).when(d % 4 == 1, F.format_string("2023%02d31", month)).when(d % 4 == 2, "n.d.").otherwise("D:2022")
     return table(spark, sf_dir, "documents").select("doc_id", T.tidy_pdf_date(raw).alias("created"))
+
+
+# ------------------------------------------------------------ what a reader confirms
+
+
+@query(
+    rf"""WITH {_READ}, u AS (SELECT doc_id, unnest(es) AS x, generate_subscripts(es, 1) AS o, vw FROM w),
+f AS (SELECT doc_id, x, min(o) AS o FROM u WHERE length(x) >= 4 AND regexp_matches(x, '^\pL+$') AND NOT list_contains(vw, x) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS r FROM f)
+SELECT doc_id, 'PDF.HIDDEN_TEXT_CONFIRMED' AS rule, 'High' AS severity, count(*) AS n, string_agg(x, ' ' ORDER BY o) FILTER (r <= 20) AS sample
+FROM r WHERE r <= 50 AND doc_id % 2 = 0 GROUP BY 1 HAVING count(*) >= 4"""
+)
+def hidden_text_confirmed(spark, sf_dir):
+    suspects = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id % 2 = 0")
+    return visual.hidden_confirmed(readings(spark, sf_dir), suspects).select("doc_id", "rule", "severity", "n", "sample")
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\pL\pN]+') AS e,
+  regexp_split_to_array(lower(replace(replace(text, ' and ', ' moon '), ' and ', ' moon ')), '[^\pL\pN]+') AS v FROM documents WHERE text IS NOT NULL AND doc_id % 8 = 0),
+z AS (SELECT doc_id, unnest(e) AS e, unnest(v) AS v FROM p)
+SELECT doc_id, 'DOCX.RENDER_DIVERGENCE_CONFIRMED' AS rule, 'High' AS severity, count(*) AS n, 'and→moon' AS sample FROM z WHERE e <> v GROUP BY 1"""
+)
+def render_divergence_confirmed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    swap = lambda c: F.replace(c, F.lit(" and "), F.lit(" moon "))
+    pairs = docs.select("doc_id", F.lit(0).alias("page"), F.col("text").alias("extracted"), swap(swap(F.col("text"))).alias("visual"))
+    suspects = docs.select("doc_id").filter("doc_id % 8 = 0")
+    pairs = pairs.join(suspects, "doc_id", "left_semi")
+    return visual.divergence_confirmed(visual.substitutions(pairs), suspects, "DOCX").select("doc_id", "rule", "severity", "n", "sample")
+
+
+@query(
+    f"""WITH {_READS} SELECT doc_id, 'DOCX.GLYPH_SEMANTIC_REPLACEMENT_OCR' AS rule, 'High' AS severity, count(*) AS n, chr(gid) || '→' || drawn AS sample
+FROM vote WHERE drawn <> chr(gid) GROUP BY doc_id, gid, drawn"""
+)
+def specimen_rule(spark, sf_dir):
+    votes, letters = _votes(spark, sf_dir)
+    lies = visual.specimen_lies(votes, letters.withColumnRenamed("letter", "claimed"))
+    return visual.specimen_findings(lies, "DOCX").select("doc_id", "rule", "severity", "n", "sample")
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'docx' END AS format FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM pair WHERE doc_id NOT IN (SELECT doc_id FROM shifted)) AND doc_id % 5 <> 0"""
+)
+def escalation(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(d, F.when(d % 5 == 0, "html").when(d % 2 == 0, "pdf").otherwise("docx").alias("format"))
+    return visual.to_escalate(docs, glyphs.replacement_findings(_pairs(spark, sf_dir)))
+
+
+@query(
+    r"""WITH p AS (
+  SELECT conv_id AS doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: length(x) >= 2)) AS e,
+    list_distinct(list_filter(regexp_split_to_array(lower(CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '(ti|on)[a-z]* ', '', 'g') ELSE text END), '[^\pL\pN]+'), lambda x: length(x) >= 2)) AS v
+  FROM conversations WHERE text IS NOT NULL
+), s AS (
+  SELECT doc_id, CASE WHEN len(list_distinct(list_concat(e, v))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(e, v))::DOUBLE / len(list_distinct(list_concat(e, v)))::DOUBLE END AS x, len(v) AS k FROM p
+)
+SELECT doc_id, round(avg(x), 9) AS similarity, bool_or(k >= 5 AND x < 0.4) AS diverges FROM s GROUP BY 1"""
+)
+def mean_similarity(spark, sf_dir):
+    seen = F.when(F.col("turn") % 2 == 0, F.regexp_replace("text", "(?:ti|on)[a-z]* ", "")).otherwise(F.col("text"))
+    pages = table(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("text").alias("extracted"), seen.alias("visual"))
+    return visual.mean_similarity(visual.page_divergence(pages)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 0 AS page, generate_subscripts(ws, 1)::INTEGER - 1 AS word_ord, unnest(ws) AS word, 100.0::DOUBLE AS confidence FROM w"""
+)
+def ocr_reads(spark, sf_dir):
+    """Reads of pictures by a scripted engine, which finds the text's own bytes in lower case."""
+    images = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.encode(F.lower("text"), "UTF-8").alias("image"))
+    return ocr.read_images(images, ocr.ScriptedEngine(bytes.decode))
