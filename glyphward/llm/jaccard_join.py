@@ -478,65 +478,42 @@ def candidate_components(docs: DataFrame, n_bytes: int, theta: float = THETA, n:
 
 
 def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
-    """(i, j, intersection) of all pairs i < j of sorted sets that reach theta; with ``across``, only i < across <= j."""
+    """Yields (i, j) of all pairs i < j of sorted sets that reach theta, some at a time; with ``across``, only i < across <= j."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     token = token.astype(np.int32)
-    shared = df[token] > 1
-    _, column = np.unique(token[shared], return_inverse=True)
-    row = owner[shared]
-    width = int(column.max()) + 1 if len(column) else 0
-    if n <= 1500:
-        inter = np.zeros((n, n), np.float32)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        step = max(256, (8 << 20) // max(n, 1))
-        for c in range(0, width, step):
-            p, q = np.searchsorted(column, [c, c + step])
-            block = np.zeros((n, min(step, width - c)), np.float32)
-            block[row[p:q], column[p:q] - c] = 1
-            inter += block @ block.T
-        i, j = np.nonzero(np.triu(inter, 1).astype(np.float64) * (1 + theta) >= theta * (sizes[:, None] + sizes[None, :]) - 1e-6)
-        keep = (i < j) & (inter[i, j] > 0)
+    # rarest first; partners share one of the first |s| - ceil(theta |s|) + 1
+    rank = np.empty(len(df), np.int32)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    table = np.sort(owner.astype(np.int64) * len(df) + rank[token])
+    o, r = (table // len(df)).astype(np.int32), (table % len(df)).astype(np.int32)
+    begin = np.cumsum(sizes) - sizes
+    head = np.arange(len(r)) - begin[o] < (sizes - np.ceil(theta * sizes - 1e-9) + 1)[o]
+    lists = np.sort(r[head].astype(np.int64) * n + o[head])  # by n-gram, then by set
+    who, new = (lists % n).astype(np.int32), np.flatnonzero(np.diff(lists // n, prepend=-1))
+    later = np.repeat(np.append(new[1:], len(lists)), np.diff(np.append(new, len(lists)))) - np.arange(len(lists)) - 1
+    entries = np.argsort(who, kind="stable")
+    first = np.searchsorted(who[entries], np.arange(n + 1))
+    cost = np.concatenate([[0], np.cumsum(later[entries])])[first]  # pairs met by the sets before
+    # seconds either way, roughly: all against all by products of matrices, or what the lists bring together one by one
+    shared = df > 1
+    if float(n) * n * shared.sum() * 3e-11 <= 6e-8 * (float(cost[-1]) + min(float(cost[-1]), n * n / 2) * float(sizes.mean())):
+        yield from _tiles(np.cumsum(shared) - 1, shared, token, begin, sizes, theta, across)
+        return
+    x = 0
+    while x < n:
+        y = max(x + 1, int(np.searchsorted(cost, cost[x] + _STEP, "right")) - 1)
+        at = entries[first[x] : first[y]]
+        k = later[at]
+        partner = who[np.repeat(at + 1 - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+        met = np.unique(np.repeat(who[at], k).astype(np.int64) * n + partner)
+        i, j = met // n, met % n
+        keep = np.minimum(sizes[i], sizes[j]) >= theta * np.maximum(sizes[i], sizes[j]) - 1e-9
+        if across is not None:
+            keep &= (i < across) & (j >= across)
         i, j = i[keep], j[keep]
-        got = inter[i, j].astype(np.int64)
-    else:
-        # rarest first; partners share one of the first |s| - ceil(theta |s|) + 1
-        rank = np.empty(len(df), np.int32)
-        rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-        r = rank[token]
-        order = np.argsort(owner.astype(np.int64) * len(df) + r)
-        r, o = r[order], owner[order]
-        begin = np.cumsum(sizes) - sizes
-        place = np.arange(len(r)) - begin[o]
-        head = place < (sizes - np.ceil(theta * sizes - 1e-9) + 1)[o]
-        by = np.lexsort((o[head], r[head]))
-        hr, ho = r[head][by], o[head][by]
-        starts = np.flatnonzero(np.concatenate([[True], hr[1:] != hr[:-1]]))
-        ends = np.append(starts[1:], len(hr))
-        keys: list[np.ndarray] = []
-        held, ready = 0, np.zeros(0, np.int64)
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            a = s
-            while a < e - 1:  # rows of the triangle of pairs, about a million pairs at once
-                z = min(e - 1, a + max(1, 1_000_000 // (e - a)))
-                later = e - 1 - np.arange(a, z)
-                p = np.repeat(np.arange(a, z), later)
-                q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(later) - later, later)
-                keys.append(ho[p].astype(np.int64) * n + ho[q])
-                held += len(p)
-                a = z
-                if held > 1_000_000:
-                    ready, keys, held = np.unique(np.concatenate([ready, *keys])), [], 0
-        ready = np.unique(np.concatenate([ready, *keys]))
-        i, j = ready // n, ready % n
-        lo, hi = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        keep = lo >= theta * hi - 1e-9
-        i, j = i[keep], j[keep]
-        table = np.sort(o.astype(np.int64) * len(df) + r)
-        got = np.zeros(len(i), np.int64)
         total = np.concatenate([[0], np.cumsum(sizes[i])])
         p = 0
         while p < len(i):  # about a million n-grams at once
@@ -546,18 +523,54 @@ def _overlaps(sets: list[np.ndarray], theta: float, across: int | None):
             pair = np.repeat(np.arange(len(a)), k)
             want = r[np.repeat(begin[a] - (np.cumsum(k) - k), k) + np.arange(len(pair))] + b[pair] * np.int64(len(df))
             found = table[np.minimum(np.searchsorted(table, want), len(table) - 1)] == want
-            got[p:q] = np.bincount(pair, found, len(a))
+            got = np.bincount(pair, found, len(a)).astype(np.int64)
+            good = got >= theta * (k + sizes[b] - got) - 1e-9
+            if good.any():
+                yield a[good], b[good]
             p = q
-    union = sizes[i] + sizes[j] - got
-    keep = got >= theta * union - 1e-9
-    if across is not None:
-        keep &= (i < across) & (j >= across)
-    return i[keep], j[keep], got[keep], union[keep]
-
-
-def _linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of what each of n nodes is connected with."""
-    label = np.arange(n)
+        x = y
+
+
+def _tiles(column, shared, token, begin, sizes, theta: float, across: int | None, tile: int = 1024):
+    """What ``_overlaps`` yields, by products of 0/1 matrices of ``tile`` sets each, some thousand n-grams at a time."""
+    n, width = len(sizes), int(shared.sum())
+
+    def part(a: int):
+        b = min(n, a + tile)
+        t = token[begin[a] : begin[b - 1] + sizes[b - 1]]
+        row = np.repeat(np.arange(b - a), sizes[a:b])[shared[t]]
+        c = column[t[shared[t]]]
+        order = np.argsort(c, kind="stable")
+        return b - a, row[order], c[order]
+
+    def block(rows: int, row: np.ndarray, c: np.ndarray, at: int, to: int) -> np.ndarray:
+        p, q = np.searchsorted(c, [at, to])
+        out = np.zeros((rows, to - at), np.float32)
+        out[row[p:q], c[p:q] - at] = 1
+        return out
+
+    for a in range(0, n if across is None else across, tile):
+        left = part(a)
+        for b in range(a if across is None else max(a, across // tile * tile), n, tile):
+            right = left if b == a else part(b)
+            inter = np.zeros((left[0], right[0]), np.float32)
+            for at in range(0, width, 4096):
+                to = min(width, at + 4096)
+                x = block(*left, at, to)
+                inter += x @ (x if b == a else block(*right, at, to)).T
+            for k in range(left[0]):
+                i, j = a + k, np.arange(b, b + right[0])
+                got = inter[k].astype(np.int64)
+                good = (got > 0) & (got >= theta * (sizes[i] + sizes[j] - got) - 1e-9) & (j > i)
+                if across is not None:
+                    good &= (i < across) & (j >= across)
+                if good.any():
+                    yield np.full(int(good.sum()), i), j[good]
+
+
+def _linked(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of what each node is connected with, by these links and by those that ``label`` stands for."""
+    i, j = np.concatenate([i, np.arange(len(label))]), np.concatenate([j, label])
     while True:
         least = np.minimum(label[i], label[j])
         new = label.copy()
@@ -594,13 +607,20 @@ def _verify(theta: float, n: int):
                 sets += [g[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
             p, q = where[s, 1], where[s, 2]
             across = None if p == q else int(np.searchsorted(block[s:e], p, "right"))
-            i, j, _, _ = _overlaps(sets[s:e], theta, across)
+            links, label = np.zeros(e - s, np.int64), np.arange(e - s)
+            held_i, held_j, much = [], [], 0
+            for i, j in _overlaps(sets[s:e], theta, across):
+                links += np.bincount(i, copies[s:e][j], e - s).astype(np.int64) + np.bincount(j, copies[s:e][i], e - s).astype(np.int64)
+                held_i.append(i), held_j.append(j)
+                much += len(i)
+                if much > _STEP:
+                    label, held_i, held_j, much = _linked(label, np.concatenate(held_i), np.concatenate(held_j)), [], [], 0
+            if much:
+                label = _linked(label, np.concatenate(held_i), np.concatenate(held_j))
             sets[s:e] = [None] * (e - s)
-            if len(i):
-                links = np.bincount(i, copies[s:e][j], e - s) + np.bincount(j, copies[s:e][i], e - s)
-                some = np.flatnonzero(links)
-                for k, v in enumerate((node[s:e][some], links[some].astype(np.int64), node[s:e][_linked(e - s, i, j)[some]])):
-                    out[k].append(v)
+            some = np.flatnonzero(links)
+            for k, v in enumerate((node[s:e][some], links[some], node[s:e][label[some]])):
+                out[k].append(v)
         return pa.table({k: pa.array(np.concatenate(v)) for k, v in zip(("node", "links", "to"), out)})
 
     return run
