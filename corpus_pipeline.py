@@ -1,4 +1,11 @@
-"""Documents to training tokens: language ID, near duplicates, repeated passages, source mix, token ids."""
+"""Documents to training tokens: language ID, near duplicates, repeated passages, source mix, token ids.
+
+Rows with a null or empty text, or one without letters, have no language and go in the first stage.  A null source is a
+source of its own, a null id an id like others.  Of rows that are alike, also in all columns, the second stage keeps one; rows
+that share an id but have unlike texts are rows like others.  A text whose passages all repeat elsewhere becomes empty and
+stays.  Columns that documents has besides (with any name that doesn't begin with two underscores) go through all stages but
+the last unchanged.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +32,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as their source's weight draws them."""
-    return source_mix.mix(docs).drop("copy_no")
+    if "copy_no" not in docs.columns:
+        return source_mix.mix(docs).drop("copy_no")
+    # a column of that name is the documents' own
+    drawn = source_mix.mix(docs.withColumnRenamed("copy_no", "own_copy_no__"))
+    return drawn.drop("copy_no").withColumnRenamed("own_copy_no__", "copy_no").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
