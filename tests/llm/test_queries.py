@@ -53,3 +53,25 @@ def test_stages_keep_the_columns(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns == ["doc_id", "n_tokens", "token_ids", "exact"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, one id with two texts, extra and clashing columns; and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, "en", "src0", None), (1, "", "en", None, 0), (2, "...", None, "src1", 3)], docs.schema)
+    extra = docs.limit(40)
+    twin = docs.limit(1).withColumn("doc_id", docs["doc_id"] + 1)
+    wide = extra.unionByName(extra).unionByName(odd).unionByName(twin).selectExpr("*", "7 AS copy_no", "'x' AS node", "array(1) AS words", "'y' AS component")
+    wide.write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.columns == table.columns, name
+        seen.write.parquet(str(tmp_path / name))
+        seen = spark.read.parquet(str(tmp_path / name))
+    assert seen.count() > 0 and seen.filter("copy_no <> 7 or copy_no is null").count() == 0
+    got = corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path))
+    assert got.filter("token_ids is null").count() == 0
+    table.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
