@@ -105,6 +105,16 @@ def html_escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def css_string(text: Column) -> Column:
+    """A string in single quotes for a style sheet; control characters go."""
+    safe = F.replace(F.replace(F.regexp_replace(text, r"[\x00-\x1f]", ""), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.concat(F.lit("'"), safe, F.lit("'"))
+
+
+def data_uri(content: Column, kind: str) -> Column:
+    return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphward import cli
+from glyphward.operators.docx_html import pages as docx_html_pages
 from glyphward.sources import docx, fonts, pdf, registry_json
 from glyphward.sources.synthetic import write_font, write_pdf
 
@@ -132,6 +133,25 @@ def pdf_scan(spark, sf_dir):
     return cli.scan(pdf_files(spark, sf_dir), known_fonts(spark)).select("doc_id", "rule", "severity", "n")
 
 
+def _uri(data: bytes) -> str:
+    import base64
+
+    return base64.b64encode(data).decode()
+
+
+@query(
+    f"""WITH {_LINES}, p AS (
+  SELECT doc_id, o, CASE WHEN text = '' THEN '<p></p>' ELSE '<p><span style="color:#' || CASE WHEN doc_id % 4 = 0 THEN 'FFFFFF' ELSE '112233' END || ';font-size:' || CASE WHEN doc_id % 5 = 0 THEN '3.5' ELSE '11.0' END
+    || 'pt;">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span></p>' END AS p FROM line)
+SELECT doc_id, '<!doctype html>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<style>@font-face{{font-family:''Tiny'';src:url(data:font/ttf;base64,'
+  || CASE doc_id % 3 WHEN 0 THEN '{_uri(FORGED)}' WHEN 1 THEN '{_uri(HONEST)}' ELSE '{_uri(SYMBOLS)}' END || ')}}</style>' || chr(10) || string_agg(p, chr(10) ORDER BY o) AS html FROM p GROUP BY doc_id"""
+)
+def docx_html(spark, sf_dir):
+    """Packages as pages of HTML with their fonts."""
+    files = docx_files(spark, sf_dir)
+    return docx_html_pages(docx.read_runs(files), docx.read_programs(files))
+
+
 def font_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a font per document with its letters a to z; every third draws b for d."""
 

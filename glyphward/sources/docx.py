@@ -176,12 +176,13 @@ def read_package(blob: bytes) -> dict:
                 data = z.read(path) if path in names else b""
                 # its own key first, then the others, each in both byte orders
                 tries = [data] + [deobfuscate(data, k, back) for k in [face["key"], *keys] for back in (True, False)]
-                parsed = next((p for p in (parse_faces(d) for d in tries) if p), [])
-                faces.append(face | {"part": path, "parsed": parsed})
+                opened, parsed = next(((d, p) for d in tries if (p := parse_faces(d))), (None, []))
+                faces.append(face | {"part": path, "parsed": parsed, "program": opened})
         for name in sorted({n for n in names if n.lower().endswith(".odttf")} - {f["part"] for f in faces}):  # no relationship names them
             data = z.read(name)
-            parsed = next((p for p in (parse_faces(d) for d in [data] + [deobfuscate(data, k, back) for k in keys for back in (True, False)]) if p), [])
-            faces.append({"family": None, "slot": None, "rid": None, "key": None, "part": name, "parsed": parsed})
+            tries = [data] + [deobfuscate(data, k, back) for k in keys for back in (True, False)]
+            opened, parsed = next(((d, p) for d in tries if (p := parse_faces(d))), (None, []))
+            faces.append({"family": None, "slot": None, "rid": None, "key": None, "part": name, "parsed": parsed, "program": opened})
         core = z.read("docProps/core.xml") if "docProps/core.xml" in names else None
         app = z.read("docProps/app.xml") if "docProps/app.xml" in names else None
     tags = {"title": core, "subject": core, "creator": core, "keywords": core, "lastModifiedBy": core, "created": core, "modified": core, "Application": app, "Company": app}
@@ -245,6 +246,27 @@ def read_faces(files: DataFrame, kind: str) -> DataFrame:
     return files.select("doc_id", "content").mapInArrow(run, schema)
 
 
+PROGRAMS = "doc_id long, font_ord int, family string, slot string, program binary"
+
+
+def read_programs(files: DataFrame) -> DataFrame:
+    """PROGRAMS: the font programs, opened, of files (doc_id, content) that the font table names."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    faces = read_package(blob or b"")["faces"]
+                except (zipfile.BadZipFile, expat.ExpatError, KeyError, ValueError, IndexError):
+                    continue
+                rows = [(doc, k, f["family"], f["slot"], f["program"]) for k, f in enumerate(faces) if f["family"] and f["program"]]
+                if rows:
+                    types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in PROGRAMS.split(", ")])
+
+    return files.select("doc_id", "content").mapInArrow(run, PROGRAMS)
+
+
 METADATA = "doc_id long, title string, subject string, creator string, keywords string, last_modified_by string, created string, modified string, application string, company string"
 _META = ("title", "subject", "creator", "keywords", "lastModifiedBy", "created", "modified", "Application", "Company")
 
