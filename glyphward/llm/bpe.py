@@ -16,7 +16,7 @@ import re
 import ahocorasick
 import numpy as np
 
-from .common import hash_tokens
+from .common import KEPT, hash_tokens
 
 MARK = "▁"
 _SLOW = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
@@ -577,6 +577,7 @@ class Lockstep:
 
 
 _MODELS: dict[bytes, MergeModel] = {}
+KEPT["bpe"] = _MODELS.clear
 
 
 def model_of(blob: bytes) -> MergeModel:

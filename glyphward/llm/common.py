@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import inspect
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -86,29 +87,45 @@ except (OSError, AttributeError):  # not every C library has it
     _TRIM = None
 
 
+#: What modules keep in a worker from task to task, by name: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
 def give_back() -> None:
     """Freed memory goes back to the system: a Python worker lives on and its executor's memory is counted with it."""
+    if any(len(x) > 1 << 19 for x in _POW.values()):
+        _POW.clear()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 
 
-def tidy(run):
-    """``run`` (of a group, of two groups, or of batches), giving back memory at its end."""
+def tidy(run, keep: str | None = None):
+    """``run`` (of a group, of two groups, or of batches), giving back memory at its end; before it begins, what other modules
+    KEPT in this worker goes, all but ``keep``."""
+
+    def begin() -> None:
+        for name, drop in KEPT.items():
+            if name != keep:
+                drop()
+
     if inspect.isgeneratorfunction(run):
 
         def batches(some):
+            begin()
             yield from run(some)
             give_back()
 
         return batches
 
     def one(table: pa.Table) -> pa.Table:
+        begin()
         out = run(table)
         give_back()
         return out
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        begin()
         out = run(left, right)
         give_back()
         return out

@@ -64,7 +64,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                     names=["doc_id", "n_tokens", "token_ids", "exact"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens int, token_ids array<int>, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "bpe"), "doc_id long, n_tokens int, token_ids array<int>, exact boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:

@@ -52,7 +52,7 @@ def serialize(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                     names=["doc_id", "n_tokens", "raw"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens int, raw binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "bpe"), "doc_id long, n_tokens int, raw binary")
 
 
 def train(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
