@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -84,6 +85,20 @@ def metadata(files: DataFrame) -> DataFrame:
     return of_pdf.unionByName(of_docx.select("doc_id", "title", F.col("creator").alias("author"), "created", "modified", F.col("application").alias("producer")))
 
 
+def fonts_examined(files: DataFrame) -> DataFrame:
+    """doc_id, n: fonts that a scan looks at, the font objects of a PDF and the embedded faces of a package that can be read."""
+    of_pdf = pdf.read_table(files.filter("format = 'pdf'"), "fonts").groupBy("doc_id").count()
+    of_docx = docx.read_faces(files.filter("format = 'docx'"), "faces").filter("parsed").groupBy("doc_id").count()
+    return of_pdf.unionByName(of_docx).withColumnRenamed("count", "n")
+
+
+def default_fonts_dir() -> str:
+    """Where this system keeps its fonts."""
+    if os.environ.get("WINDIR"):
+        return os.path.join(os.environ["WINDIR"], "Fonts")
+    return next((d for d in ("/usr/share/fonts", "/System/Library/Fonts") if os.path.isdir(d)), "/usr/share/fonts")
+
+
 def scan(files: DataFrame, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Findings of files (doc_id, format, content); ``known`` as registry_json.load gives it."""
     return examine(files, known)[0]
@@ -124,14 +139,15 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--format-out", choices=("human", "json"), default="human")
     s.add_argument("--registry", help="file or folder of a font registry")
     b = commands.add_parser("build-registry")
-    b.add_argument("--fonts-dir", required=True)
+    b.add_argument("--fonts-dir", default=default_fonts_dir())
     b.add_argument("--out", required=True)
     b.add_argument("--slim", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("glyphward").getOrCreate()
     if args.command == "build-registry":
-        faces, _ = fonts.build_registry(spark, args.fonts_dir)
+        faces, skipped = fonts.build_registry(spark, args.fonts_dir)
         registry_json.save(faces, args.out, args.slim)
+        print(f"{registry_json.load(spark, args.out)[0].count()} faces, {skipped.count()} files skipped")
         return 0
     files = load_files(spark, args.paths)
     found, phrases, verdicts = examine(files, registry_json.load(spark, args.registry) if args.registry else None)

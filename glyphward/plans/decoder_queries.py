@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphward import cli
+from glyphward.functions import text as T
+from glyphward.operators import registry
 from glyphward.operators.docx_html import pages as docx_html_pages
 from glyphward.sources import docx, fonts, pdf, registry_json
 from glyphward.sources.synthetic import write_font, write_pdf
@@ -217,3 +219,26 @@ def scan_errors(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 5 == 1, "pdf").when(F.col("doc_id") % 5 == 2, "docx")
     broken = ids.filter("doc_id % 5 < 3").withColumn("format", kind)
     return cli.scan_errors(whole.unionByName(broken)).select("doc_id", F.regexp_extract("error", "^([^:]+)", 1).alias("error"))
+
+
+@query("SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 2 + CASE WHEN doc_id % 9 = 0 THEN 6 ELSE 3 END ELSE 1 END)::BIGINT AS n FROM documents")
+def fonts_examined(spark, sf_dir):
+    files = pdf_files(spark, sf_dir).filter("doc_id % 2 = 0").unionByName(docx_files(spark, sf_dir).filter("doc_id % 2 = 1"))
+    return cli.fonts_examined(files)
+
+
+@query(f"WITH {_FONT_LETTERS} SELECT 'Doc' || doc_id AS family, count(*)::BIGINT AS cmap_len FROM glyph GROUP BY doc_id")
+def registry_counts(spark, sf_dir):
+    faces = fonts.read_fonts(font_files(spark, sf_dir)).withColumn("face_ord", F.xxhash64("path"))
+    counts = registry.registry_counts(faces, faces.select("face_ord", F.inline("cps")))
+    return faces.select("face_ord", "family").join(counts, "face_ord").select("family", "cmap_len")
+
+
+@query(
+    r"""SELECT doc_id, lower(nullif(regexp_extract(text, '\pL', 0), '')) AS first_letter, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:16], ' ') AS snippet
+FROM documents WHERE text IS NOT NULL"""
+)
+def text_heads(spark, sf_dir):
+    """First letters and first words of texts."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", F.nullif(T.first_letter(F.col("text")), F.lit("")).alias("first_letter"), T.first_words(F.col("text")).alias("snippet"))
