@@ -55,7 +55,7 @@ class MergeModel:
     """A SentencePiece model file of type BPE with byte fallback and no normalisation."""
 
     #: Segments, words and fits of pieces that are remembered, of each; and distinct segments in the numpy store.
-    FITS, STORE = 200_000, 500_000
+    FITS, STORE = 200_000, 1_000_000
 
     def __init__(self, blob: bytes, cache_size: int = 20_000):
         self.digest = hashlib.sha256(blob).hexdigest()
@@ -371,11 +371,10 @@ class MergeModel:
         if len(self.store_keys) + len(keep) > self.STORE:
             self._forget()
         else:
-            keys = np.concatenate([self.store_keys, unique[keep]])
-            order = np.argsort(keys)
-            self.store_keys, self.store_ids = keys[order], flat
-            self.store_start = np.concatenate([self.store_start, starts[keep]])[order]
-            self.store_size = np.concatenate([self.store_size, lens[keep].astype(np.int32)])[order]
+            at = np.searchsorted(self.store_keys, unique[keep])
+            self.store_keys, self.store_ids = np.insert(self.store_keys, at, unique[keep]), flat
+            self.store_start = np.insert(self.store_start, at, starts[keep])
+            self.store_size = np.insert(self.store_size, at, lens[keep].astype(np.int32))
         turn = np.argsort(place, kind="stable")
         which = inverse.ravel()[turn]
         k = lens[which]
