@@ -55,7 +55,7 @@ class MergeModel:
     """A SentencePiece model file of type BPE with byte fallback and no normalisation."""
 
     #: Segments, words and fits of pieces that are remembered, of each; and distinct segments in the numpy store.
-    FITS, STORE = 200_000, 1_000_000
+    FITS, WORDS, STORE = 200_000, 200_000, 1_000_000
 
     def __init__(self, blob: bytes, cache_size: int = 20_000):
         self.digest = hashlib.sha256(blob).hexdigest()
@@ -274,7 +274,7 @@ class MergeModel:
             fresh = dict(zip(todo, self._encode_words(todo)))
             for s, x in zip(whole, split):
                 local[s] = b"".join([fresh[w] if w in fresh else words[w] for w in x])
-            if len(words) + len(fresh) > self.cache_size:
+            if len(words) + len(fresh) > self.WORDS:
                 words.clear()
             words.update((w, v) for w, v in fresh.items() if len(w) <= 64)
             if len(self.cache) + len(local) > self.cache_size:
@@ -283,6 +283,18 @@ class MergeModel:
             parts = [local[s] if p is None else p for s, p in zip(segs, parts)]
         return parts
 
+    def _encode_new(self, segs: list[str]) -> list[bytes]:
+        """Ids of distinct segments that the store doesn't have; only their words are remembered."""
+        words, find = self.words, self.part.findall
+        split = [[s] if MARK * 2 in s else find(s) for s in segs]
+        todo = list({w for x in split for w in x if w not in words})
+        fresh = dict(zip(todo, self._encode_words(todo)))
+        out = [fresh.get(x[0]) or words[x[0]] if len(x) == 1 else b"".join([fresh.get(w) or words[w] for w in x]) for x in split]
+        if len(words) + len(fresh) > self.WORDS:
+            words.clear()
+        words.update((w, v) for w, v in fresh.items() if len(w) <= 64)
+        return out
+
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of UTF-8 texts end to end, and the rows' offsets in them.
 
@@ -361,7 +373,7 @@ class MergeModel:
         segs = [
             ((MARK if m else "") + raw[p:q].decode()) if i < n_words else "\n" if i < feeds else MARK for i, p, q, m in zip(some.tolist(), bs.tolist(), es.tolist(), ms.tolist())
         ]
-        parts = self.encode_segments(segs)
+        parts = self._encode_new(segs)
         lens, starts = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
         lens[new] = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
         starts[new] = len(self.store_ids) + np.cumsum(lens[new]) - lens[new]
