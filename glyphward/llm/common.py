@@ -19,11 +19,23 @@ _BASE = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 8 << 20
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: lineage ends at files every executor can read."""
+#: Whether Spark deletes a query's shuffle files as it ends; else they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage_table(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: lineage ends at files every executor can read.  ``free``: its
+    shuffle files go at once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if free:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

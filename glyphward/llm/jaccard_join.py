@@ -19,6 +19,10 @@ which partners must agree.  Sets for which the segments leave too little room ar
 the cheaper way for all its sets has no segments (m = 0).  At THETA = 0.6 that is so wherever single n-grams are rare, since
 H is two thirds of a set; segments pay at higher thresholds, or in corpora so large that single n-grams are common.
 
+Where every band (but of tiny sets) is of the finest division, the number of sets that have an n-gram is counted first, and sets are listed
+under their rarest n-grams by that count (``_listed_pairs``), which takes far fewer and shorter lists than estimates do: an n-gram
+that one set alone has is never listed.  What follows on entries holds for the other way.
+
 An entry that more than HOT sets share is passed over, and counted as a loss of each.  Sets that lose more than their room
 are joined on such entries among themselves, up to CROWD sets an entry; those that lose too many of even larger ones are
 tied to one set of each.  None of this drops a pair: frequencies steer cost only.
@@ -36,7 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, powers, slices, stage_table, string_buffers, text_bytes, tidy, unpack_sorted, unplanes
+from .common import CHUNK_BYTES, U64, bucket_cuts, drop_staged, hash_tokens, mix, ngram_hashes, pack_sorted, planes, powers, slices, stage_table, string_buffers, text_bytes, tidy, unpack_sorted, unplanes
 from .components import components
 
 #: Below the near copies that the tables hold: a replaced word costs two bigrams, so with a share f replaced the similarity
@@ -60,6 +64,9 @@ _RARE = 16  # bits at most that a word counts
 _COMMON = 1.0 / (1 << _RARE)
 _SPARE = 0.15  # share of n-grams that sets list more than one of which must agree, in the finest space
 _STRANGERS = 3  # log2 of the strangers that an entry may be expected to meet
+_TINY = 3  # n-grams of a set that is listed cheaply either way
+_AGREE = 0.1  # share of the n-grams common to partners that must be among the listed ones, one more at least
+_KEY = U64(0xFFFFFFFFFF000000)  # n-grams are counted and listed by 40 bits of their hash; more that are equal cost time only
 
 
 def _ordered(rows: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -423,7 +430,7 @@ def _crowded(met: DataFrame, theta: float, most: int) -> tuple[DataFrame, DataFr
     dense = shared.join(lost.filter("loss > room").select("node", "space", "loss"), ["node", "space"])
     # sets without any room (room = -1) rely on others of the list, or on the finest space
     lists = dense.groupBy("sig", "space").agg(F.count(F.lit(1)).alias("members"), F.max("room").alias("best")).filter("best >= 0 and members > 1")
-    dense = stage_table(dense.join(lists.select("sig", "space", "members"), ["sig", "space"]), "crowded")
+    dense = stage_table(dense.join(lists.select("sig", "space", "members"), ["sig", "space"]), "crowded", free=True)
     mid = dense.filter(F.col("members") <= most)
     left, right = (mid.select("sig", "space", *[F.col(c).alias(c + x) for c in ("node", "size", "weight")]) for x in "ab")
     met_again = left.join(right, ["sig", "space"]).filter("nodea < nodeb").filter(F.least("sizea", "sizeb") >= theta * F.greatest("sizea", "sizeb") - 1e-9)
@@ -442,6 +449,244 @@ def _crowded(met: DataFrame, theta: float, most: int) -> tuple[DataFrame, DataFr
     return pairs, loss, stars
 
 
+# ---------------------------------------------------------------- lists by counted frequency
+
+
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """node, text: of texts with words, of one node one from each task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            _, offsets = string_buffers(batch.column("text"))
+            for i, j in slices(offsets, _STEP):
+                part = batch.column("text").slice(i, j - i)
+                data, off = string_buffers(part)
+                h, _, _, tok = hash_tokens(data, off, "word")
+                names = text_keys(h, tok)
+                fresh = np.zeros(j - i, bool)
+                fresh[np.unique(names, return_index=True)[1]] = True
+                fresh &= (np.diff(tok) > 0) & np.array([x not in seen for x in names.tolist()], bool)
+                seen.update(names[fresh].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(names[fresh]), part.filter(pa.array(fresh))], names=["node", "text"])
+
+    return docs.select("text").mapInArrow(tidy(run), "node long, text string")
+
+
+def _chunk_sets(table: pa.Table, n: int) -> tuple[np.ndarray, ...]:
+    """Of a chunk: (nodes in order, sizes, n-grams by set, their distinct keys in order, each n-gram's place there)."""
+    nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    texts = table.column("text").take(pa.array(first))
+    _, offsets = string_buffers(texts)
+    sizes, grams = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for i, j in slices(offsets, _STEP):
+        g, off = ngram_sets(texts.slice(i, j - i), n)[:2]
+        sizes.append(np.diff(off))
+        grams.append(g)
+    g = np.concatenate(grams)
+    keys, back = np.unique(g & _KEY, return_inverse=True)
+    return nodes, np.concatenate(sizes), g, keys, back
+
+
+def _level(df):
+    """Numbers of sets in a byte, in order: exact up to 160."""
+    df = np.asarray(df, np.float64)
+    return np.where(df <= 160, df, 160 + np.minimum(95, np.ceil(6 * np.log2(np.maximum(df, 160) / 160)))).astype(np.uint8)
+
+
+def _chunk_counts(n: int, n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, _, _, keys, back = _chunk_sets(table, n)
+        times = np.bincount(back, minlength=len(keys)).astype(np.uint32)
+        cuts = bucket_cuts(keys, n_buckets)
+        some = np.flatnonzero(np.diff(cuts))
+        chunk = table.column("chunk")[0].as_py()
+        spans = [(cuts[b], cuts[b + 1]) for b in some]
+        return pa.table(
+            {
+                "chunk": pa.array([chunk] * len(some), pa.int32()),
+                "bucket": pa.array(some, pa.int32()),
+                "keys": pa.array([pack_sorted(keys[p:q]) for p, q in spans], pa.binary()),
+                "times": pa.array([planes(times[p:q]) for p, q in spans], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _bucket_counts(table: pa.Table) -> pa.Table:
+    """Each blob's keys, as the level of how many sets of all chunks have them."""
+    blobs = [unpack_sorted(b) for b in table.column("keys").to_pylist()]
+    times = np.concatenate([unplanes(b, np.uint32) for b in table.column("times").to_pylist()])
+    _, back = np.unique(np.concatenate(blobs), return_inverse=True)
+    level = _level(np.bincount(back, times))[back]
+    ends = np.cumsum([len(b) for b in blobs]).tolist()
+    levels = [level[e - len(b) : e].tobytes() for b, e in zip(blobs, ends)]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "levels": pa.array(levels, pa.binary())})
+
+
+_LISTS = ["keys", "owner", "place", "set", "size", "cold", "cool"]
+
+
+def _lists(theta: float, n: int, n_buckets: int, hot: int, most: int):
+    """Lists of a chunk's sets: blobs by bucket and tier, and in bucket -1 the nodes, of which the k-th has the number k.
+
+    A set orders its n-grams by (sets that have it, hash).  ``cold`` of them are in at most ``hot`` sets, ``cool`` in at most ``most``.
+    """
+
+    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in (("chunk", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in _LISTS])})
+        nodes, sizes, g, keys, back = _chunk_sets(table, n)
+        chunk = table.column("chunk")[0].as_py()
+        levels = counts.column("levels").take(pc.sort_indices(counts.column("bucket"))).to_pylist()
+        level = np.frombuffer(b"".join(levels), np.uint8)[back]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = _ordered(owner, level.astype(np.int64), g)
+        level, key = level[order], keys[back[order]]
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        cold, cool = (np.bincount(owner, level <= _level(x), len(sizes)).astype(np.int64) for x in (hot, most))
+        least = np.ceil(theta * sizes - 1e-9).astype(np.int64)
+        first = sizes - least + 1
+        depth = first + np.floor(_AGREE * least + 1e-9).astype(np.int64)
+        shared = (level > 1) & (place < depth[owner])
+        tiers = (
+            shared & (level <= _level(hot)),
+            shared & (level <= _level(most)) & (cold < first)[owner],
+            shared & (level > _level(most)) & (place < first[owner]) & (cool < first)[owner],
+        )
+        rows = {k: [] for k in ["chunk", "bucket", *_LISTS]}
+        for tier, some in enumerate(tiers):
+            some = np.flatnonzero(some)
+            some = some[np.argsort(key[some], kind="stable")]
+            cuts = bucket_cuts(key[some], n_buckets)
+            for b in np.flatnonzero(np.diff(cuts)):
+                x = some[cuts[b] : cuts[b + 1]]
+                used, at = np.unique(owner[x], return_inverse=True)
+                of = (used.astype(np.uint32), *(v[used].astype(np.int32) for v in (sizes, cold, cool)))
+                blob = (pack_sorted(key[x]), planes(at.astype(np.uint32)), planes(place[x].astype(np.int32)), *map(planes, of))
+                for name, v in zip(rows, (chunk, tier * n_buckets + int(b), *blob)):
+                    rows[name].append(v)
+        for name, v in zip(rows, (chunk, -1, planes(nodes.view(U64)), *[b""] * 6)):
+            rows[name].append(v)
+        return pa.table({k: pa.array(v, pa.int32() if k in ("chunk", "bucket") else pa.binary()) for k, v in rows.items()})
+
+    return run
+
+
+def _brought_together(theta: float, n_buckets: int):
+    """Of a bucket: pairs of sets, on how many n-grams they agree there, and on how many they must in all.
+
+    Partners have at least ``both`` n-grams in common.  Of each, all but ``size - both + k`` of its first n-grams are too few to
+    hold more than ``both - k`` common ones, so among the first ones of both are k at least: only these count, and k of them
+    are asked for.  Tier 0 holds n-grams that few sets have.  Of these, partners have ``cold - size + both`` in common, if that
+    is less; pairs of which it is less than 1 either way meet in tier 1, where lists are longer.  What even that may miss
+    is tied in tier 2: pairs for which n-grams of longer lists can be the first ones in common.
+    """
+    share = theta / (1 + theta)
+
+    def run(table: pa.Table) -> pa.Table:
+        tier = table.column("bucket")[0].as_py() // n_buckets
+        cols = {c: table.column(c).to_pylist() for c in _LISTS}
+        key = np.concatenate([unpack_sorted(b) for b in cols["keys"]])
+        place = np.concatenate([unplanes(b, np.int32) for b in cols["place"]])
+        base, own, of = 0, [], {k: [] for k in _LISTS[3:]}
+        for i, (chunk, o) in enumerate(zip(table.column("chunk").to_pylist(), cols["owner"])):
+            own.append(unplanes(o, np.uint32).astype(np.int64) + base)
+            of["set"].append(unplanes(cols["set"][i], np.uint32).astype(np.int64) + (chunk << 32))
+            for k in _LISTS[4:]:
+                of[k].append(unplanes(cols[k][i], np.int32).astype(np.int64))
+            base += len(of["set"][-1])
+        own = np.concatenate(own)
+        name, size, cold, cool = (np.concatenate(v) for v in of.values())
+        twin = np.sort(key)
+        twin = np.unique(twin[1:][twin[1:] == twin[:-1]])
+        some = np.flatnonzero(twin[np.minimum(np.searchsorted(twin, key), len(twin) - 1)] == key) if len(twin) else np.zeros(0, np.int64)
+        some = some[np.lexsort((name[own[some]], key[some]))]
+        key, place, own = key[some], place[some].astype(np.int64), own[some]
+        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if len(key) else np.zeros(0, np.int64)
+        done: list[tuple] = [(np.zeros(0, np.int64),) * 4]
+        if tier == 2:
+            # the largest partner for which shorter lists may not do; of two such sets, one at least allows partners of its own size
+            reach = np.floor((size - cool) / share - size + 1e-6).astype(np.int64)[own]
+            n, wide = size[own], 1 << 32
+            even = np.flatnonzero(reach >= n)
+            even = even[np.lexsort((n[even], group[even]))]
+            best = np.maximum.accumulate(group[even] * wide + reach[even])
+            at = np.searchsorted(group[even] * wide + n[even], group * wide + np.maximum(reach, 0), "right") - 1
+            tied = np.flatnonzero((at >= 0) & (best[at] >= group * wide + n)) if len(even) else even
+            if len(tied):
+                begins = np.concatenate([[True], group[tied][1:] != group[tied][:-1]])
+                hub = tied[begins][np.cumsum(begins) - 1]
+                a, b = name[own[hub]], name[own[tied]]
+                links = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
+                done.append((links[0], links[1], *[np.ones(links.shape[1], np.int64)] * 2))
+        else:
+
+            def settle(parts):
+                a, b, need, agreed = (np.concatenate(v) for v in zip(*parts))
+                order = np.lexsort((b, a))
+                a, b, need, agreed = a[order], b[order], need[order], agreed[order]
+                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+                return a[new], b[new], need[new], np.add.reduceat(agreed, new) if len(a) else agreed
+
+            held = 0
+            for start in range(0, len(key), 1 << 17):
+                i, lag = np.arange(start, min(len(key), start + (1 << 17))), 0
+                while True:
+                    lag += 1
+                    i = i[i + lag < len(key)]
+                    i = i[group[i + lag] == group[i]]
+                    if not len(i):
+                        break
+                    x, y = own[i], own[i + lag]
+                    n, m = size[x], size[y]
+                    both = np.ceil(share * (n + m) - 1e-9).astype(np.int64)
+                    k = 1 + np.floor(_AGREE * both + 1e-9).astype(np.int64)
+                    sure = np.maximum(cold[x] - n, cold[y] - m) + both
+                    fits = (np.minimum(n, m) >= theta * np.maximum(n, m) - 1e-9) & (place[i] < n - both + k) & (place[i + lag] < m - both + k) & (x != y)
+                    if tier == 1:
+                        fits &= sure < 1
+                        sure = np.maximum(1, np.maximum(cool[x] - n, cool[y] - m) + both)
+                    else:
+                        fits &= sure >= 1
+                    f = np.flatnonzero(fits)
+                    if len(f):
+                        done.append((name[x[f]], name[y[f]], np.minimum(k, sure)[f], np.ones(len(f), np.int64)))
+                        held += len(f)
+                    if held > 1 << 20:
+                        done = [settle(done)]
+                        held = 0
+            done = [settle(done)]
+        a, b, need, agreed = (np.concatenate(v) for v in zip(*done))
+        return pa.table({"a": a, "b": b, "need": pa.array(need.astype(np.int32)), "agreed": pa.array(agreed.astype(np.int32))})
+
+    return run
+
+
+def _listed_pairs(docs: DataFrame, n_bytes: int, theta: float, n: int, hot: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b: pairs of sets that may be partners, or ties; set, node: whose they are)."""
+    n_chunks, n_buckets = max(1, n_bytes // CHUNK_BYTES), max(1, n_bytes // BUCKET_BYTES)
+    texts = _distinct_texts(docs).withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(n_chunks)).cast("int"))
+    counts = texts.groupBy("chunk").applyInArrow(tidy(_chunk_counts(n, n_buckets)), "chunk int, bucket int, keys binary, times binary")
+    counts = counts.groupBy("bucket").applyInArrow(tidy(_bucket_counts), "chunk int, bucket int, levels binary")
+    lists = texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(tidy(_lists(theta, n, n_buckets, hot, most)), "chunk int, bucket int, " + ", ".join(f"{c} binary" for c in _LISTS))
+    lists = stage_table(lists, "lists", free=True)
+    pairs = lists.filter("bucket >= 0").groupBy("bucket").applyInArrow(tidy(_brought_together(theta, n_buckets)), "a long, b long, need int, agreed int")
+    pairs = pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("agreed").alias("agreed")).filter("agreed >= need").select("a", "b")
+    links = stage_table(pairs, "candidates", free=True)
+
+    def run(batches):
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("keys").to_pylist()):
+                nodes = unplanes(blob, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(nodes)) + (chunk << 32)), pa.array(nodes)], names=["set", "node"])
+
+    sets = stage_table(lists.filter("bucket = -1").select("chunk", "keys").mapInArrow(run, "set long, node long"), "sets")
+    drop_staged(lists)
+    return links, sets
+
+
 def candidate_components(docs: DataFrame, n_bytes: int, theta: float = THETA, n: int = N, hot: int = HOT, most: int = CROWD) -> DataFrame:
     """node (of ``text_keys``), component: every pair of at least theta lies in one component.
 
@@ -452,12 +697,18 @@ def candidate_components(docs: DataFrame, n_bytes: int, theta: float = THETA, n:
     plan.reach(1 << 16)
     for band in range(len(plan.his)):
         plan.scheme(band)
+    if not any(plan.scheme(band)[1] for band, hi in enumerate(plan.his) if hi > _TINY):
+        links, sets = _listed_pairs(docs, n_bytes, theta, n, hot, most)
+        tied = stage_table(components(links).withColumnRenamed("node", "set").join(sets, "set").select("node", "component"), "tied", free=True)
+        drop_staged(links)
+        drop_staged(sets)
+        return tied
     n_buckets = max(1, n_bytes // BUCKET_BYTES)
     blobs = docs.select("text").mapInArrow(tidy(_index(plan, n, n_buckets)), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOB))
     met = blobs.groupBy("bucket").applyInArrow(tidy(_meet(hot, theta)), "hot boolean, a long, b long, space int, agreed int, floor_a int, floor_b int")
-    met = stage_table(met, "agreements")
+    met = stage_table(met, "agreements", free=True)
     again, loss, stars = _crowded(met, theta, most)
-    loss = stage_table(loss, "losses")
+    loss = stage_table(loss, "losses", free=True)
     # by a, so that counting, the losses of a and a first cut need one exchange
     pairs = met.filter("not hot").drop("hot").unionByName(again).repartition("a", "space")
     pairs = pairs.groupBy("a", "b", "space").agg(F.sum("agreed").alias("agreed"), F.max("floor_a").alias("floor_a"), F.max("floor_b").alias("floor_b"))
@@ -467,7 +718,7 @@ def candidate_components(docs: DataFrame, n_bytes: int, theta: float = THETA, n:
     both = F.coalesce(F.col("densea") & F.col("denseb"), F.lit(False))
     floors = [F.col(f"floor_{x}") - F.coalesce(F.when(both, F.col(f"over{x}")).otherwise(F.col(f"loss{x}")), F.lit(0)) for x in "ab"]
     edges = pairs.filter(F.col("agreed") >= F.greatest(*floors)).select("a", "b")
-    links = stage_table(edges.unionByName(stars).filter("a <> b").distinct(), "candidates")
+    links = stage_table(edges.unionByName(stars).filter("a <> b").distinct(), "candidates", free=True)
     tied = components(links)
     drop_staged(met)
     drop_staged(loss)
@@ -644,8 +895,8 @@ def _members(docs: DataFrame) -> DataFrame:
 
 
 def _one_text_each(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """wanted (with doc_id and th) with the text of such a row."""
-    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), "text")
+    """wanted (with doc_id and th) with the text of such a row.  Merged at any size, so that small tables tell what large ones take."""
+    texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), "text").hint("merge")
     found = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["__id"]) & (wanted["th"] == texts["__th"])).drop("__id", "__th", "doc_id", "th")
     return found.dropDuplicates(["node"]) if repeated else found
 
@@ -656,14 +907,14 @@ def groups(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, bl
     ``copies``: rows of the node.  ``links``: rows of other nodes that are similar to it.  ``lead``: the least (doc_id, th) of
     the group, null ids last.  A component of more than ``block`` words is verified in pairs of blocks.
     """
-    rows = stage_table(_members(docs), "rows")
+    rows = stage_table(_members(docs), "rows", free=True)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     nodes = rows.filter("words > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("least"), F.max("words").alias("words"))
-    nodes = stage_table(nodes, "nodes")
+    nodes = stage_table(nodes, "nodes", free=True)
     repeated = not nodes.filter("copies > 1").isEmpty()
     n_bytes = text_bytes(docs)
     parts = candidate_components(docs, n_bytes, theta, n, hot, most).join(nodes, "node")
-    parts = stage_table(parts.select("node", "component", "copies", "words", "least.doc_id", "least.th"), "parts")
+    parts = stage_table(parts.select("node", "component", "copies", "words", "least.doc_id", "least.th"), "parts", free=True)
     count = parts.groupBy("component").agg(F.ceil(F.sum("words") / block).cast("int").alias("blocks"))
     each = parts.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = _one_text_each(docs, each.drop("words"), repeated)
@@ -671,13 +922,13 @@ def groups(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, bl
     each = each.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "blocks")
     bins = max(1, n_bytes // BIN_BYTES)
     spot = F.pmod(F.xxhash64("component", "p", "q"), F.lit(bins))
-    found = stage_table(each.groupBy(spot.alias("bin")).applyInArrow(tidy(_verify(theta, n)), "node long, links long, to long"), "found")
+    found = stage_table(each.groupBy(spot.alias("bin")).applyInArrow(tidy(_verify(theta, n)), "node long, links long, to long"), "found", free=True)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     of = nodes.join(links, "node", "left").join(tied, "node", "left").filter("copies > 1 or links > 0")
     of = of.select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"), "least")
     lead = of.groupBy("component").agg(F.min("least").alias("lead"))
-    linked = stage_table(of.join(lead, "component").select("node", "copies", "links", "lead"), "linked")
+    linked = stage_table(of.join(lead, "component").select("node", "copies", "links", "lead"), "linked", free=True)
     for x in (parts, found, nodes):
         drop_staged(x)
     return rows, linked

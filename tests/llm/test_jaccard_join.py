@@ -1,5 +1,7 @@
+import glob
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -148,3 +150,54 @@ def test_production_threshold_catches_replaced_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r["class_id"], r["doc_id"]) for r in J.similar(df).collect() if r["doc_id"] != r["class_id"]} == copies
     assert {r["doc_id"] for r in J.keep_one(df).collect()} == {i for i, _ in rows} - {b for _, b in copies}
+
+
+def test_common_ngrams_tie_no_strangers(spark):
+    """Most n-grams are in more sets than lists may be long: partners meet on the rare ones, and strangers are not tied."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        text = [f"r{k}x{i}" for i in range(40)] + [f"c{rng.randrange(30)}" for _ in range(100)]
+        rows.append((2 * k, " ".join(text)))
+        if k < 10:
+            text[rng.randrange(140)] = "other"
+            rows.append((2 * k + 1, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n_bytes = sum(len(t) for _, t in rows)
+    sizes = [r["count"] for r in J.candidate_components(df, n_bytes, hot=4, most=8).groupBy("component").count().collect()]
+    assert sizes == [2] * 10
+    assert got(J.similar(df, hot=4, most=8)) == brute(rows, J.THETA)
+
+
+@pytest.mark.parametrize("hot, most", [(1, 2), (2, 5), (6, 9)])
+def test_lists_of_many_lengths_equal_brute_force(spark, monkeypatch, hot, most):
+    """Parts, extensions and near copies of few texts, in clusters longer than the lists, over several chunks and buckets."""
+    monkeypatch.setattr(J, "CHUNK_BYTES", 6000)
+    monkeypatch.setattr(J, "BUCKET_BYTES", 9000)
+    rng = random.Random(hot)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(10, 60) if rng.random() < 0.5 else 1000 * base + i}" for i in range(rng.choice((6, 15, 40, 90)))]
+        for _ in range(rng.choice((3, 8, 20))):
+            t = list(words[rng.randrange(1 + len(words) // 3) :])
+            for _ in range(rng.randrange(1 + len(t) // 8)):
+                t[rng.randrange(len(t))] = f"w{rng.randrange(60)}"
+            t += [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1 + len(t) // 2))]
+            rows += [(len(rows), " ".join(t))] * rng.choice((1, 1, 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for theta in (0.6, 0.75):
+        assert got(J.similar(df, theta, hot=hot, most=most)) == brute(rows, theta)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What is staged leaves no shuffle files behind, whenever the driver collects garbage."""
+    where = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in where for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = held()
+    pairs = spark.range(20_000).selectExpr("id % 1000 AS k", "id").groupBy("k").sum("id")
+    kept = J.stage_table(pairs, "test", free=True)
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and kept.count() == 1000
