@@ -201,3 +201,21 @@ def test_shuffle_files_go_with_their_query(spark):
             break
         time.sleep(0.1)
     assert not held() - before and kept.count() == 1000
+
+
+def test_keep_one_stages_few_rows_a_text(spark, monkeypatch):
+    """As the pipeline's second stage: n-grams that many sets have leave no rows of their own between index and pairs."""
+    rng = random.Random(9)
+    rows = [(k, " ".join([f"r{k // 2 if k < 20 else k}x{i}" for i in range(40)] + [f"c{rng.randrange(30)}" for _ in range(20 if k < 20 else 100)])) for k in range(160)]
+    real, staged = J.stage_table, {}
+
+    def counted(df, name, **how):
+        out = real(df, name, **how)
+        staged[name] = staged.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "stage_table", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in J.keep_one(df, hot=4, most=8).collect()}
+    assert kept == {c for _, c, _ in brute(rows, J.THETA)}
+    assert max(v for k, v in staged.items() if k != "words") <= 2 * len(rows)
