@@ -21,7 +21,8 @@ H is two thirds of a set; segments pay at higher thresholds, or in corpora so la
 
 Where every band (but of tiny sets) is of the finest division, the number of sets that have an n-gram is counted first, and sets are listed
 under their rarest n-grams by that count (``_listed_pairs``), which takes far fewer and shorter lists than estimates do: an n-gram
-that one set alone has is never listed.  What follows on entries holds for the other way.
+that one set alone has is never listed.  Sets whose n-grams are too common for that, the more the larger the corpus, are listed
+under two n-grams at a time.  What follows on entries holds for the other way.
 
 An entry that more than HOT sets share is passed over, and counted as a loss of each.  Sets that lose more than their room
 are joined on such entries among themselves, up to CROWD sets an entry; those that lose too many of even larger ones are
@@ -34,6 +35,7 @@ verified exactly, from the texts.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -526,12 +528,66 @@ def _bucket_counts(table: pa.Table) -> pa.Table:
 
 
 _LISTS = ["keys", "owner", "place", "set", "size", "cold", "cool"]
+_TIE = 1 << 30  # counts as agreement enough, whatever a pair needs
+
+
+def _two_bands(theta: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bands of sizes up to this one: (least size, groups, how many twos partners agree on at least).  Partners lie in one band or
+    in two that are neighbours, and meet in the lower one.  A band of 0 groups has n-grams by themselves."""
+    edges = [1]
+    while edges[-1] <= size:
+        edges.append(max(edges[-1] + 1, math.ceil(edges[-1] / theta)))
+    edges = np.array(edges, np.int64)
+    both = np.ceil(2 * theta / (1 + theta) * edges - 1e-9).astype(np.int64)  # of the smallest partners
+    groups = np.maximum(1, np.round((1 - theta) * edges).astype(np.int64))  # which takes the fewest twos
+    agree = 1 + groups // 8
+    over = groups + agree > both
+    return edges, np.where(over, both - 1, groups), np.where(over, 1, agree)
+
+
+def _twos(theta: float, some: np.ndarray, sizes: np.ndarray, begin: np.ndarray, g: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, set, band) of the twos of these sets, whose n-grams are in order: keys are of two n-grams of one group.
+
+    In a band of ``groups``, partners have ``groups + agree`` n-grams in common among the first ones of both (``_brought_together``),
+    so on ``agree`` twos of these they agree at least.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(some):
+        return none.astype(U64), none, none
+    edges, groups, agree = _two_bands(theta, int(sizes[some].max()))
+    band = np.searchsorted(edges, sizes[some], "right") - 1
+    low = band > 0
+    own, band = np.concatenate([some, some[low]]), np.concatenate([band, band[low] - 1])
+    n = sizes[own]
+    both = np.ceil(theta / (1 + theta) * (n + np.maximum(np.ceil(theta * n - 1e-9), edges[band])) - 1e-9).astype(np.int64)
+    depth = np.clip(n - both + (groups + agree)[band], 0, n)
+    which = np.repeat(np.arange(len(own)), depth)
+    at = np.repeat(begin[own] - (np.cumsum(depth) - depth), depth) + np.arange(len(which))
+    shared = level[at] > 1  # others no partner has, though they have their places
+    which, x = which[shared], mix(g[at[shared]])
+    m = groups[band[which]]
+    spot = (which << 32) + ((x >> U64(32)) * m.astype(U64) >> U64(32)).astype(np.int64)
+    order = np.argsort(spot, kind="stable")
+    spot, x, which, m = spot[order], x[order], which[order], m[order]
+    salt = mix(np.arange(1, len(edges) + 1).astype(U64) + U64(0x7E57))
+    i = np.flatnonzero(m == 0)
+    keys, sets, lag = [x[i] + salt[band[which[i]]]], [which[i]], 0
+    i = np.flatnonzero(m > 0)
+    while len(i):
+        lag += 1
+        i = i[i + lag < len(spot)]
+        i = i[spot[i + lag] == spot[i]]
+        keys.append(x[i] + x[i + lag] + salt[band[which[i]]])
+        sets.append(which[i])
+    which = np.concatenate(sets)
+    return mix(np.concatenate(keys)) & _KEY, own[which], band[which]
 
 
 def _lists(theta: float, n: int, n_buckets: int, hot: int, most: int):
     """Lists of a chunk's sets: blobs by bucket and tier, and in bucket -1 the nodes, of which the k-th has the number k.
 
     A set orders its n-grams by (sets that have it, hash).  ``cold`` of them are in at most ``hot`` sets, ``cool`` in at most ``most``.
+    Tier 2 has bands as places.
     """
 
     def run(table: pa.Table, counts: pa.Table) -> pa.Table:
@@ -553,18 +609,19 @@ def _lists(theta: float, n: int, n_buckets: int, hot: int, most: int):
         tiers = (
             shared & (level <= _level(hot)),
             shared & (level <= _level(most)) & (cold < first)[owner],
-            shared & (level > _level(most)) & (place < first[owner]) & (cool < first)[owner],
         )
+        tiers = [(key[some], owner[some], place[some]) for some in tiers]
+        tiers.append(_twos(theta, np.flatnonzero(cool < first), sizes, np.cumsum(sizes) - sizes, g[order], level))
         rows = {k: [] for k in ["chunk", "bucket", *_LISTS]}
-        for tier, some in enumerate(tiers):
-            some = np.flatnonzero(some)
-            some = some[np.argsort(key[some], kind="stable")]
-            cuts = bucket_cuts(key[some], n_buckets)
+        for tier, entries in enumerate(tiers):
+            by = np.argsort(entries[0], kind="stable")
+            keys_of, set_of, place_of = (v[by] for v in entries)
+            cuts = bucket_cuts(keys_of, n_buckets)
             for b in np.flatnonzero(np.diff(cuts)):
-                x = some[cuts[b] : cuts[b + 1]]
-                used, at = np.unique(owner[x], return_inverse=True)
+                x = slice(cuts[b], cuts[b + 1])
+                used, at = np.unique(set_of[x], return_inverse=True)
                 of = (used.astype(np.uint32), *(v[used].astype(np.int32) for v in (sizes, cold, cool)))
-                blob = (pack_sorted(key[x]), planes(at.astype(np.uint32)), planes(place[x].astype(np.int32)), *map(planes, of))
+                blob = (pack_sorted(keys_of[x]), planes(at.astype(np.uint32)), planes(place_of[x].astype(np.int32)), *map(planes, of))
                 for name, v in zip(rows, (chunk, tier * n_buckets + int(b), *blob)):
                     rows[name].append(v)
         for name, v in zip(rows, (chunk, -1, planes(nodes.view(U64)), *[b""] * 6)):
@@ -574,14 +631,14 @@ def _lists(theta: float, n: int, n_buckets: int, hot: int, most: int):
     return run
 
 
-def _brought_together(theta: float, n_buckets: int):
+def _brought_together(theta: float, n_buckets: int, most: int):
     """Of a bucket: pairs of sets, on how many n-grams they agree there, and on how many they must in all.
 
     Partners have at least ``both`` n-grams in common.  Of each, all but ``size - both + k`` of its first n-grams are too few to
     hold more than ``both - k`` common ones, so among the first ones of both are k at least: only these count, and k of them
     are asked for.  Tier 0 holds n-grams that few sets have.  Of these, partners have ``cold - size + both`` in common, if that
-    is less; pairs of which it is less than 1 either way meet in tier 1, where lists are longer.  What even that may miss
-    is tied in tier 2: pairs for which n-grams of longer lists can be the first ones in common.
+    is less; pairs of which it is less than 1 either way meet in tier 1, where lists are longer.  Pairs of which it is less
+    than 1 there too meet in tier 2.  Its lists are of two n-grams each (``_twos``), of any number of sets, which few strangers share.  Sets of lists of over ``most`` are tied there, if they can be such a pair.
     """
     share = theta / (1 + theta)
 
@@ -606,58 +663,68 @@ def _brought_together(theta: float, n_buckets: int):
         key, place, own = key[some], place[some].astype(np.int64), own[some]
         group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1 if len(key) else np.zeros(0, np.int64)
         done: list[tuple] = [(np.zeros(0, np.int64),) * 4]
-        if tier == 2:
+        many = np.bincount(group)[group] if len(key) else group
+        long = np.flatnonzero(many > most) if tier == 2 else many[:0]
+        if len(long):
+            listed, in_list = own[long], group[long]
             # the largest partner for which shorter lists may not do; of two such sets, one at least allows partners of its own size
-            reach = np.floor((size - cool) / share - size + 1e-6).astype(np.int64)[own]
-            n, wide = size[own], 1 << 32
+            reach = np.floor((size - cool) / share - size + 1e-6).astype(np.int64)[listed]
+            n, wide = size[listed], 1 << 32
             even = np.flatnonzero(reach >= n)
-            even = even[np.lexsort((n[even], group[even]))]
-            best = np.maximum.accumulate(group[even] * wide + reach[even])
-            at = np.searchsorted(group[even] * wide + n[even], group * wide + np.maximum(reach, 0), "right") - 1
-            tied = np.flatnonzero((at >= 0) & (best[at] >= group * wide + n)) if len(even) else even
+            even = even[np.lexsort((n[even], in_list[even]))]
+            best = np.maximum.accumulate(in_list[even] * wide + reach[even])
+            at = np.searchsorted(in_list[even] * wide + n[even], in_list * wide + np.maximum(reach, 0), "right") - 1
+            tied = np.flatnonzero((at >= 0) & (best[at] >= in_list * wide + n)) if len(even) else even
             if len(tied):
-                begins = np.concatenate([[True], group[tied][1:] != group[tied][:-1]])
+                begins = np.concatenate([[True], in_list[tied][1:] != in_list[tied][:-1]])
                 hub = tied[begins][np.cumsum(begins) - 1]
-                a, b = name[own[hub]], name[own[tied]]
+                a, b = name[listed[hub]], name[listed[tied]]
                 links = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
-                done.append((links[0], links[1], *[np.ones(links.shape[1], np.int64)] * 2))
-        else:
-
-            def settle(parts):
-                a, b, need, agreed = (np.concatenate(v) for v in zip(*parts))
-                order = np.lexsort((b, a))
-                a, b, need, agreed = a[order], b[order], need[order], agreed[order]
-                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-                return a[new], b[new], need[new], np.add.reduceat(agreed, new) if len(a) else agreed
-
-            held = 0
-            for start in range(0, len(key), 1 << 17):
-                i, lag = np.arange(start, min(len(key), start + (1 << 17))), 0
-                while True:
-                    lag += 1
-                    i = i[i + lag < len(key)]
-                    i = i[group[i + lag] == group[i]]
-                    if not len(i):
-                        break
-                    x, y = own[i], own[i + lag]
-                    n, m = size[x], size[y]
-                    both = np.ceil(share * (n + m) - 1e-9).astype(np.int64)
-                    k = 1 + np.floor(_AGREE * both + 1e-9).astype(np.int64)
-                    sure = np.maximum(cold[x] - n, cold[y] - m) + both
-                    fits = (np.minimum(n, m) >= theta * np.maximum(n, m) - 1e-9) & (place[i] < n - both + k) & (place[i + lag] < m - both + k) & (x != y)
+                done.append((links[0], links[1], np.zeros(links.shape[1], np.int64), np.full(links.shape[1], _TIE)))
+            short = np.flatnonzero(many <= most)
+            key, place, own, group = key[short], place[short], own[short], group[short]
+        edges, _, agree = _two_bands(theta, int(size.max()) if len(size) else 1)
+
+        def settle(parts):
+            a, b, need, agreed = (np.concatenate(v) for v in zip(*parts))
+            order = np.lexsort((b, a))
+            a, b, need, agreed = a[order], b[order], need[order], agreed[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            return a[new], b[new], need[new], np.add.reduceat(agreed, new) if len(a) else agreed
+
+        held = 0
+        for start in range(0, len(key), 1 << 17):
+            i, lag = np.arange(start, min(len(key), start + (1 << 17))), 0
+            while True:
+                lag += 1
+                i = i[i + lag < len(key)]
+                i = i[group[i + lag] == group[i]]
+                if not len(i):
+                    break
+                x, y = own[i], own[i + lag]
+                n, m = size[x], size[y]
+                both = np.ceil(share * (n + m) - 1e-9).astype(np.int64)
+                k = 1 + np.floor(_AGREE * both + 1e-9).astype(np.int64)
+                sure = np.maximum(cold[x] - n, cold[y] - m) + both
+                fits = (np.minimum(n, m) >= theta * np.maximum(n, m) - 1e-9) & (x != y)
+                if tier == 2:
+                    band = np.searchsorted(edges, np.minimum(n, m), "right") - 1
+                    fits &= (place[i] == band) & (np.maximum(cool[x] - n, cool[y] - m) + both < 1)
+                    k = sure = agree[band]
+                else:
+                    fits &= (place[i] < n - both + k) & (place[i + lag] < m - both + k)
                     if tier == 1:
                         fits &= sure < 1
-                        sure = np.maximum(1, np.maximum(cool[x] - n, cool[y] - m) + both)
-                    else:
-                        fits &= sure >= 1
-                    f = np.flatnonzero(fits)
-                    if len(f):
-                        done.append((name[x[f]], name[y[f]], np.minimum(k, sure)[f], np.ones(len(f), np.int64)))
-                        held += len(f)
-                    if held > 1 << 20:
-                        done = [settle(done)]
-                        held = 0
-            done = [settle(done)]
+                        sure = np.maximum(cool[x] - n, cool[y] - m) + both
+                    fits &= sure >= 1
+                f = np.flatnonzero(fits)
+                if len(f):
+                    done.append((name[x[f]], name[y[f]], np.minimum(k, sure)[f], np.ones(len(f), np.int64)))
+                    held += len(f)
+                if held > 1 << 20:
+                    done = [settle(done)]
+                    held = 0
+        done = [settle(done)]
         a, b, need, agreed = (np.concatenate(v) for v in zip(*done))
         return pa.table({"a": a, "b": b, "need": pa.array(need.astype(np.int32)), "agreed": pa.array(agreed.astype(np.int32))})
 
@@ -672,7 +739,7 @@ def _listed_pairs(docs: DataFrame, n_bytes: int, theta: float, n: int, hot: int,
     counts = counts.groupBy("bucket").applyInArrow(tidy(_bucket_counts), "chunk int, bucket int, levels binary")
     lists = texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(tidy(_lists(theta, n, n_buckets, hot, most)), "chunk int, bucket int, " + ", ".join(f"{c} binary" for c in _LISTS))
     lists = stage_table(lists, "lists", free=True)
-    pairs = lists.filter("bucket >= 0").groupBy("bucket").applyInArrow(tidy(_brought_together(theta, n_buckets)), "a long, b long, need int, agreed int")
+    pairs = lists.filter("bucket >= 0").groupBy("bucket").applyInArrow(tidy(_brought_together(theta, n_buckets, most)), "a long, b long, need int, agreed int")
     pairs = pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("agreed").alias("agreed")).filter("agreed >= need").select("a", "b")
     links = stage_table(pairs, "candidates", free=True)
 
@@ -901,11 +968,36 @@ def _one_text_each(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFr
     return found.dropDuplicates(["node"]) if repeated else found
 
 
+def _rounds(held: dict[int, int], limit: int) -> list[tuple[int, int]]:
+    """Ranges of turns, each of which sends texts of at most ``limit`` words, or is one turn.  ``held``: words of the components
+    by their number of blocks; in every turn below that number each of their texts is sent once."""
+    out, start, sent = [], 0, 0
+    for turn in range(max(held, default=1)):
+        words = sum(w for b, w in held.items() if b > turn)
+        if turn > start and sent + words > limit:
+            out.append((start, turn))
+            start, sent = turn, 0
+        sent += words
+    return [*out, (start, max(held, default=1))]
+
+
+def _found(each: DataFrame, theta: float, n: int, bins: int, turns: tuple[int, int]) -> DataFrame:
+    """``_verify`` of the pairs of blocks p, q that meet in these turns, (p + q) modulo the number of blocks: in a turn a block
+    meets one other, or itself."""
+    each = each.filter(F.col("blocks") > turns[0])
+    each = each.withColumn("turn", F.explode(F.sequence(F.lit(turns[0]), F.least(F.lit(turns[1]), "blocks") - 1)))
+    other = F.pmod(F.col("turn") - F.col("block"), F.col("blocks"))
+    each = each.withColumn("p", F.least("block", other)).withColumn("q", F.greatest("block", other)).drop("turn", "blocks")
+    spot = F.pmod(F.xxhash64("component", "p", "q"), F.lit(bins))
+    return stage_table(each.groupBy(spot.alias("bin")).applyInArrow(tidy(_verify(theta, n)), "node long, links long, to long"), "found", free=True)
+
+
 def groups(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, block: int = BLOCK, most: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, th, node, words; nodes with a link: node, copies, links, lead).
 
     ``copies``: rows of the node.  ``links``: rows of other nodes that are similar to it.  ``lead``: the least (doc_id, th) of
-    the group, null ids last.  A component of more than ``block`` words is verified in pairs of blocks.
+    the group, null ids last.  A component of more than ``block`` words is verified in pairs of blocks, in so many rounds that
+    each sends no more than all words of docs, or every text of a component once.
     """
     rows = stage_table(_members(docs), "rows", free=True)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
@@ -915,21 +1007,22 @@ def groups(docs: DataFrame, theta: float = THETA, n: int = N, hot: int = HOT, bl
     n_bytes = text_bytes(docs)
     parts = candidate_components(docs, n_bytes, theta, n, hot, most).join(nodes, "node")
     parts = stage_table(parts.select("node", "component", "copies", "words", "least.doc_id", "least.th"), "parts", free=True)
-    count = parts.groupBy("component").agg(F.ceil(F.sum("words") / block).cast("int").alias("blocks"))
-    each = parts.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    count = parts.groupBy("component").agg(F.sum("words").alias("held")).withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
+    each = parts.join(count.drop("held"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = _one_text_each(docs, each.drop("words"), repeated)
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other", "blocks")
     bins = max(1, n_bytes // BIN_BYTES)
-    spot = F.pmod(F.xxhash64("component", "p", "q"), F.lit(bins))
-    found = stage_table(each.groupBy(spot.alias("bin")).applyInArrow(tidy(_verify(theta, n)), "node long, links long, to long"), "found", free=True)
+    held = {r["blocks"]: r["held"] for r in count.groupBy("blocks").agg(F.sum("held").alias("held")).collect()}
+    rounds = _rounds(held, nodes.agg(F.sum("words").alias("n")).first()["n"] or 0)
+    if len(rounds) > 1:
+        each = stage_table(each, "texts", free=True)
+    found = reduce(DataFrame.unionByName, [_found(each, theta, n, bins, turns) for turns in rounds])
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     of = nodes.join(links, "node", "left").join(tied, "node", "left").filter("copies > 1 or links > 0")
     of = of.select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"), "least")
     lead = of.groupBy("component").agg(F.min("least").alias("lead"))
     linked = stage_table(of.join(lead, "component").select("node", "copies", "links", "lead"), "linked", free=True)
-    for x in (parts, found, nodes):
+    for x in (parts, found, nodes, *[each] * (len(rounds) > 1)):
         drop_staged(x)
     return rows, linked
 

@@ -219,3 +219,48 @@ def test_keep_one_stages_few_rows_a_text(spark, monkeypatch):
     kept = {r["doc_id"] for r in J.keep_one(df, hot=4, most=8).collect()}
     assert kept == {c for _, c, _ in brute(rows, J.THETA)}
     assert max(v for k, v in staged.items() if k != "words") <= 2 * len(rows)
+
+
+def test_pairs_of_common_ngrams_tie_no_strangers(spark):
+    """As in the pipeline's second stage on large tables: even a set's rarest n-grams are in more sets than lists may be long."""
+    rng = random.Random(18)
+    rows = []
+    for k in range(300):
+        text = [f"r{k}x{i}" for i in range(20)] + [f"c{rng.randrange(60)}" for _ in range(100)]
+        rows.append((2 * k, " ".join(text)))
+        if k < 10:
+            text[rng.randrange(120)] = "other"
+            rows.append((2 * k + 1, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n_bytes = sum(len(t) for _, t in rows)
+    sizes = [r["count"] for r in J.candidate_components(df, n_bytes, hot=2, most=6).groupBy("component").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 6
+    assert got(J.similar(df, hot=2, most=6)) == brute(rows, J.THETA)
+
+
+def test_no_round_of_verification_sends_more_than_the_texts(spark, monkeypatch):
+    """A component of many blocks: its texts meet in all pairs of blocks, but are not all copied for all of them at once."""
+    rows = list(enumerate(dict.fromkeys(hub(random.Random(2), 60)))) + [(100 + k, " ".join(f"o{k}x{i}" for i in range(60))) for k in range(60)]
+    sent, rounds = spark.sparkContext.accumulator(0), []
+    real_verify, real_stage = J._verify, J.stage_table
+
+    def verify(theta, n):
+        run = real_verify(theta, n)
+
+        def counted(table):
+            sent.add(table.num_rows)
+            return run(table)
+
+        return counted
+
+    def stage(df, name, **how):
+        before, out = sent.value, real_stage(df, name, **how)
+        if name == "found":
+            rounds.append(sent.value - before)
+        return out
+
+    monkeypatch.setattr(J, "_verify", verify)
+    monkeypatch.setattr(J, "stage_table", stage)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(J.similar(df, hot=4, most=8, block=300)) == brute(rows, J.THETA)
+    assert max(rounds) <= len(rows) and sum(rounds) > 2 * len(rows)
