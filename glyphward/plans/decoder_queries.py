@@ -14,6 +14,7 @@ from glyphward.functions import text as T
 from glyphward.operators import registry
 from glyphward.operators.docx_html import pages as docx_html_pages
 from glyphward.sources import docx, fonts, pdf, registry_json
+from glyphward.sources.batches import slices
 from glyphward.sources.synthetic import write_font, write_pdf
 
 from .queries import query, table
@@ -25,15 +26,26 @@ FORGED = write_font({c: "b" if c == "d" else c for c in "abcdefgh"}, "Tiny")
 SYMBOLS = write_font({chr(0xE000 + k): chr(97 + k % 8) for k in range(20)}, "Runes")
 
 
-def _files(docs: DataFrame, write) -> DataFrame:
-    """doc_id, content of documents (doc_id, text, source, lang)."""
+def file_batches(write):
+    """What a task does with batches of documents: a few at a time become files."""
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([write(r) for r in rows], pa.binary())], names=["doc_id", "content"])
+            for some in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([write(r) for r in some.to_pylist()], pa.binary())], names=["doc_id", "content"])
+
+    return run
+
+
+def _files(docs: DataFrame, write) -> DataFrame:
+    """doc_id, content of documents (doc_id, text, source, lang)."""
+    return docs.select("doc_id", "text", "source", "lang").mapInArrow(file_batches(write), "doc_id long, content binary")
+
 
-    return docs.select("doc_id", "text", "source", "lang").mapInArrow(run, "doc_id long, content binary")
+def _spread(docs: DataFrame) -> DataFrame:
+    """Documents in equal parts for all cores, however few and uneven the parts of the stored table are: writing and decoding a
+    file takes a core much longer than sending its text."""
+    return docs.select("doc_id", "text", "source", "lang").repartition("doc_id")
 
 
 def write_docx(r: dict) -> bytes:
@@ -56,12 +68,14 @@ def write_page(r: dict) -> bytes:
     return write_pdf(lines, garbled=5 if i % 7 == 0 else 2, differences=i % 8 == 0, subsets=6 if i % 9 == 0 else 3, program=program, info=info)
 
 
-def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(table(spark, sf_dir, "documents"), write_docx).withColumn("format", F.lit("docx"))
+def docx_files(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """Packages of the documents that a condition picks: the others are not written."""
+    return _files(_spread(table(spark, sf_dir, "documents").filter(which)), write_docx).withColumn("format", F.lit("docx"))
 
 
-def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(table(spark, sf_dir, "documents"), write_page).withColumn("format", F.lit("pdf"))
+def pdf_files(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """PDF files of the documents that a condition picks: the others are not written."""
+    return _files(_spread(table(spark, sf_dir, "documents").filter(which)), write_page).withColumn("format", F.lit("pdf"))
 
 
 _LINES = "line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS o FROM documents)"

@@ -26,8 +26,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _local[0]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, and safe from lost executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again: computed once, and safe from lost executors.  ``by``: a folder for each
+    value of that column, so a filter on it reads no other's rows."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
