@@ -44,8 +44,10 @@ def _files(docs: DataFrame, write) -> DataFrame:
 
 def _spread(docs: DataFrame) -> DataFrame:
     """Documents in equal parts for all cores, however few and uneven the parts of the stored table are: writing and decoding a
-    file takes a core much longer than sending its text."""
-    return docs.select("doc_id", "text", "source", "lang").repartition("doc_id")
+    file takes a core much longer than sending its text.  With a number, as without one the parts are joined until there is
+    about one for each core, and one more than that takes all of them twice as long."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("doc_id", "text", "source", "lang").repartition(n, "doc_id")
 
 
 def write_docx(r: dict) -> bytes:
@@ -219,7 +221,7 @@ def known_fonts(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 )
 def file_metadata(spark, sf_dir):
     """Document information of PDF files (ids 1 modulo 4) and packages (ids 3 modulo 4); files without any have no row."""
-    files = pdf_files(spark, sf_dir).filter("doc_id % 4 < 2").unionByName(docx_files(spark, sf_dir).filter("doc_id % 4 >= 2"))
+    files = pdf_files(spark, sf_dir, "doc_id % 4 < 2").unionByName(docx_files(spark, sf_dir, "doc_id % 4 >= 2"))
     return cli.metadata(files).select("doc_id", "title", "author", "created")
 
 
@@ -228,7 +230,7 @@ def file_metadata(spark, sf_dir):
 )
 def scan_errors(spark, sf_dir):
     """Files of no known format, PDF files and packages cut short; whole files have no error."""
-    whole = pdf_files(spark, sf_dir).filter("doc_id % 5 = 3").unionByName(docx_files(spark, sf_dir).filter("doc_id % 5 = 4"))
+    whole = pdf_files(spark, sf_dir, "doc_id % 5 = 3").unionByName(docx_files(spark, sf_dir, "doc_id % 5 = 4"))
     ids = table(spark, sf_dir, "documents").select("doc_id", F.lit(b"cut").alias("content"))
     kind = F.when(F.col("doc_id") % 5 == 1, "pdf").when(F.col("doc_id") % 5 == 2, "docx")
     broken = ids.filter("doc_id % 5 < 3").withColumn("format", kind)
@@ -237,7 +239,7 @@ def scan_errors(spark, sf_dir):
 
 @query("SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 2 + CASE WHEN doc_id % 9 = 0 THEN 6 ELSE 3 END ELSE 1 END)::BIGINT AS n FROM documents")
 def fonts_examined(spark, sf_dir):
-    files = pdf_files(spark, sf_dir).filter("doc_id % 2 = 0").unionByName(docx_files(spark, sf_dir).filter("doc_id % 2 = 1"))
+    files = pdf_files(spark, sf_dir, "doc_id % 2 = 0").unionByName(docx_files(spark, sf_dir, "doc_id % 2 = 1"))
     return cli.fonts_examined(files)
 
 
