@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SCHEMA = (
@@ -12,9 +10,15 @@ SCHEMA = (
 )
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Of a path or URI of any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(faces: face_ord, names and hashes; outlines: face_ord, cp, outline_hash as signed 64 bits)."""
-    if os.path.isdir(path):  # as ``save`` writes it
+    if _is_folder(spark, path):  # as ``save`` writes it
         one = SCHEMA.partition("array<struct<")[2][:-2].replace(":", " ", 6).replace("cmap:", "cmap ").replace("outlines:", "outlines ")
         fonts = spark.read.schema(one).json(path)
         fonts = fonts.select(F.monotonically_increasing_id().alias("face_ord"), F.struct(*fonts.columns).alias("f"))
