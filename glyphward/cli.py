@@ -111,7 +111,7 @@ def examine(files: DataFrame, known: tuple[DataFrame, DataFrame] | None = None)
     packages = staged(docx.decode(files.filter("format = 'docx'"), ("runs", "faces", "glyphs", "cmap")), "docx", "kind")
     runs = docx.table_of(packages, "runs").withColumn("run_ord", F.col("part_ord") * 1_000_000 + F.col("run_ord"))
     words = docx_rules.body_text(runs)
-    pdfs = staged(pdf.decode(files.filter("format = 'pdf'")), "pdf")
+    pdfs = staged(pdf.decode(files.filter("format = 'pdf'")), "pdf", "kind")
     page_runs, regions, media, pdf_fonts, to = (pdf.table_of(pdfs, k) for k in ("runs", "regions", "media", "fonts", "tounicode"))
     tallies = painter.page_tallies(painter.with_background(page_runs, regions, media), painter.image_coverage(regions.filter("is_image"), media), media)
     in_pdf, pdf_phrases, pdf_verdicts = pdf_font_rules(pdfs, to, page_runs, known)
