@@ -101,3 +101,16 @@ def test_registry_is_read_by_path_and_by_uri(spark, tmp_path):
     for path in (f"file://{tmp_path}/r", f"{tmp_path}/r"):
         known, outlines = registry_json.load(spark, path)
         assert (known.count(), outlines.count()) == (1, 3), path
+
+
+def test_pairs_of_codes_are_read_as_by_the_reader():
+    pairs = b"<41> <0042><1>\n<D83DDE00> "
+    want = [{"code_lo": 0x41, "code_hi": 0x41, "dst_hex": "0042"}, {"code_lo": 0x10, "code_hi": 0x10, "dst_hex": "D83DDE00"}]
+    assert pdf.tounicode_entries(b"2 beginbfchar " + pairs + b"endbfchar") == want == pdf.tounicode_entries(b"2 beginbfchar %c\n" + pairs + b"endbfchar")
+    assert pdf.tounicode_entries(b"beginbfchar " + pairs) == []
+
+
+def test_a_small_font_is_parsed_once():
+    data = write_font({c: c for c in "abc"})
+    one, other = fonts.parse_faces(data), fonts.parse_faces(bytes(bytearray(data)))
+    assert one is not other and one[0] is other[0]
